@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.llm import bpe, mixing, percentiles
+from tallyhouse.functions.clean import fold, postcode
+from tallyhouse.llm import bpe, mixing, percentiles, variants
 from tallyhouse.plans.catalogue import Catalogue, table
 from tallyhouse.session import staged
 
@@ -134,3 +135,66 @@ def p8_order(spark: SparkSession, sf_dir: str) -> DataFrame:
     plan = mixing.plan_mixture(texts, table(spark, sf_dir, "mix_target"))
     w = Window.partitionBy("slot").orderBy("start")
     return mixing.placed(texts, plan).select("slot", F.row_number().over(w).alias("place"), "doc_id", "source", "turn")
+
+# --- names ------------------------------------------------------------------------------------------------------------
+
+
+def open_schools(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(urn, name, phase, la_code, town, pc, outward, website, open_date) of every way a school open now is written."""
+    est = table(spark, sf_dir, "establishment").where(fold(F.col("status")).startswith("open") & F.col("urn").isNotNull())
+    return est.select(
+        "urn", "name", "phase", "la_code", "town", postcode(F.col("postcode")).alias("pc"), "website", "open_date"
+    ).withColumn("outward", F.split_part("pc", F.lit(" "), F.lit(1)))
+
+
+def successors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(former, urn): the open school that took the place of a former one.
+
+    From the resolved list; for former schools it lacks, the one open school at the same postcode that opened between a
+    month before and 400 days after the former one closed.
+    """
+    listed = table(spark, sf_dir, "school_match").select(F.explode("former_urns").alias("former"), "urn")
+    shut = table(spark, sf_dir, "establishment").where(fold(F.col("status")) == "closed").select(
+        F.col("urn").alias("former"), postcode(F.col("postcode")).alias("pc"), "close_date"
+    )
+    now = open_schools(spark, sf_dir).select("urn", "pc", "open_date").distinct()
+    gap = F.datediff("open_date", "close_date")
+    placed = shut.join(now, "pc").where(gap.between(-31, 400)).groupBy("former").agg(
+        F.min("urn").alias("urn"), F.max("urn").alias("_other")
+    )
+    placed = placed.where(F.col("urn") == F.col("_other")).drop("_other").join(listed, "former", "left_anti")
+    return listed.where("former is not null and former <> urn").unionByName(placed).distinct()
+
+
+def known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(target, name, phase, place, la_code, outward): present and earlier names of every open school."""
+    now = open_schools(spark, sf_dir)
+    here = now.groupBy("urn").agg(
+        F.max("la_code").alias("la_code"), F.max("outward").alias("outward"), F.max("town").alias("place"), F.max("phase").alias("phase")
+    )
+    listed = table(spark, sf_dir, "school_match").select("urn", F.explode("former_names").alias("name"))
+    shut = table(spark, sf_dir, "establishment").select(F.col("urn").alias("former"), "name", F.col("phase").alias("old"))
+    gone = shut.join(successors(spark, sf_dir), "former").select("urn", "name", "old")
+    old = listed.withColumn("old", F.lit(None).cast("string")).unionByName(gone)
+    every = now.select("urn", "name", F.col("phase").alias("own")).unionByName(old.withColumnRenamed("old", "own")).where("name is not null")
+    return every.distinct().join(here.drop("phase"), "urn").select(
+        F.col("urn").alias("target"), "name", F.col("own").alias("phase"), "place", "la_code", "outward"
+    )
+
+
+@C.query("p3_found")
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The school that each name in the admissions booklets means."""
+    typed = table(spark, sf_dir, "admission_name").where("mention_id is not null").groupBy("mention_id").agg(
+        F.max_by(F.struct("la_code", "phase", "outward", "printed_name"), F.struct("read_at", "printed_name")).alias("m")
+    )
+    out = F.regexp_replace(F.upper("m.outward"), "[^A-Z0-9]", "")
+    la = F.col("m.la_code").cast("string")
+    typed = typed.select(
+        F.col("mention_id").alias("id"), F.col("m.printed_name").alias("name"), F.col("m.phase").alias("phase"),
+        F.array_compact(F.array(F.concat_ws("|", la, out), F.concat(la, F.lit("|")))).alias("blocks"),
+    )
+    known = known_names(spark, sf_dir).withColumn(
+        "blocks", F.array(F.concat(F.col("la_code").cast("string"), F.lit("|"), F.coalesce("outward", F.lit(""))))
+    )
+    return variants.link_variants(typed, known).select(F.col("id").alias("mention_id"), F.col("target").alias("urn"))
