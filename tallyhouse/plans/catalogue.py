@@ -3,12 +3,24 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tallyhouse.session import ship
+
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def _shipped(f: Query) -> Query:
+    @wraps(f)
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship(spark)
+        return f(spark, sf_dir)
+
+    return run
+
+
 class Catalogue:
     """Queries of one module, with the SQL that gives the same rows where there is one."""
 
@@ -20,7 +32,7 @@ class Catalogue:
         def add(f: Query) -> Query:
             if name in self.queries:
                 raise ValueError(f"{name} is registered twice")
-            self.queries[name] = f
+            self.queries[name] = _shipped(f)
             if sql:
                 self.sql[name] = sql
             return f

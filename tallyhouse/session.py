@@ -5,6 +5,8 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,3 +53,20 @@ def stage(df: DataFrame, name: str) -> tuple[DataFrame, str]:
 def staged(df: DataFrame, name: str) -> DataFrame:
     """``stage`` without the path."""
     return stage(df, name)[0]
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Sends this package to the Python workers of a session, once, so that it need not be installed on them."""
+    app = spark.sparkContext.applicationId
+    if app in _SHIPPED:
+        return
+    root = Path(__file__).resolve().parent
+    zipped = Path(tempfile.mkdtemp(prefix="tallyhouse-code-")) / "tallyhouse.zip"
+    with zipfile.ZipFile(zipped, "w") as z:
+        for p in sorted(root.rglob("*.py")):
+            z.write(p, p.relative_to(root.parent))
+    spark.sparkContext.addPyFile(str(zipped))
+    _SHIPPED.add(app)
