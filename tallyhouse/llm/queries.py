@@ -2,11 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.clean import fold, postcode
-from tallyhouse.llm import bpe, mixing, percentiles, variants
+from tallyhouse.llm import bpe, linkage, mixing, percentiles, variants
 from tallyhouse.plans.catalogue import Catalogue, table
 from tallyhouse.session import staged
 
@@ -198,3 +198,145 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
         "blocks", F.array(F.concat(F.col("la_code").cast("string"), F.lit("|"), F.coalesce("outward", F.lit(""))))
     )
     return variants.link_variants(typed, known).select(F.col("id").alias("mention_id"), F.col("target").alias("urn"))
+
+
+# --- associations -----------------------------------------------------------------------------------------------------
+
+#: Fixed value: how the objects of parents' associations name their school.
+OBJECTS = r"(?i)(?:pupils (?:in|of|at)|children who attend|money for|benefit of|pupils attending)\s+(.+?)(?:,?\s+and to bring|,?\s+by (?:giving|providing)|\s+and hold|[.;]|$)"
+
+VOTES = ["v_name", "v_kind", "v_addr", "v_obj", "v_pc", "v_web", "v_mail", "v_place", "v_initials", "v_best"]
+
+
+def host(c: Column) -> Column:
+    """The host of a web address or the part of a mail address after the @, without www."""
+    t = F.lower(F.trim(c))
+    t = F.regexp_replace(F.regexp_replace(t, "^[a-z]+://", ""), "^.*@", "")
+    return F.nullif(F.regexp_replace(F.regexp_extract(t, r"^([a-z0-9.-]+)", 1), r"^www\.", ""), F.lit(""))
+
+
+def association_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(charity_number, urn, confidence, score, plural, key): candidate pairs of associations and open schools.
+
+    Candidates share a postcode, a host, or enough letter q-grams of a name in the same place.
+    """
+    las = table(spark, sf_dir, "local_authority").select("la_code", fold(F.col("name")).alias("la_name"))
+    known = known_names(spark, sf_dir).join(F.broadcast(las), "la_code", "left")
+    tag = lambda kind, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"{kind}|"), c))
+    known = known.withColumn(
+        "blocks", F.array_compact(F.array(F.lit("all"), tag("o", F.col("outward")), tag("t", fold(F.col("place"))), tag("n", F.col("la_name"))))
+    ).withColumn("id", F.xxhash64("target", "name", "phase"))
+    known = staged(
+        known.withColumn("p", variants.parsed("name")).select("id", "target", "name", "phase", "place", "la_name", "blocks", "p.*").dropDuplicates(["id"]), "known"
+    )
+    weights = variants.word_weights(known)
+
+    pta = table(spark, sf_dir, "pta").where("charity_number is not null")
+    latest = F.struct("date_of_registration", "charity_name", "charity_contact_address1", "charitable_objects")
+    fields = ["charity_name", "charity_contact_postcode", "charity_contact_web", "charity_contact_email", "charity_contact_address1",
+              "charity_contact_address2", "charity_contact_address3", "charitable_objects", "area_of_benefit"]
+    one = pta.groupBy("charity_number").agg(F.max_by(F.struct(*fields), latest).alias("c")).select("charity_number", "c.*")
+    addr = F.nullif(F.regexp_extract("charity_contact_address1", r"(?i)^\s*c\s*/?\s*o\b\.?\s*(.+)$", 1), F.lit(""))
+    obj = F.nullif(F.trim(F.regexp_extract("charitable_objects", OBJECTS, 1)), F.lit(""))
+    obj_name = F.when(~F.lower(obj).rlike("^the school\\b"), F.split_part(obj, F.lit(","), F.lit(1)))
+    ch = one.withColumn("n", linkage.charity_name("charity_name")).where("n.named is not null").select(
+        F.col("charity_number").alias("id"), "n.*", postcode(F.col("charity_contact_postcode")).alias("pc"),
+        host(F.col("charity_contact_web")).alias("web"), host(F.col("charity_contact_email")).alias("mail"),
+        variants.parsed(addr).alias("a"), variants.parsed(obj_name).alias("o"),
+        F.array_compact(F.array(
+            fold(F.col("charity_contact_address2")), fold(F.col("charity_contact_address3")), fold(F.col("area_of_benefit")),
+            fold(F.element_at(F.split(obj, ","), -1)), fold(F.when(F.col("charity_name").contains(","), F.element_at(F.split("charity_name", ","), -1))),
+        )).alias("places"),
+    )
+    ch = ch.withColumn("outward", F.split_part("pc", F.lit(" "), F.lit(1))).withColumn(
+        "blocks",
+        F.array_distinct(F.array_compact(F.concat(
+            F.array(tag("o", F.col("outward"))), F.transform("places", lambda p: F.concat(F.lit("t|"), p)), F.transform("places", lambda p: F.concat(F.lit("n|"), p)),
+        ))),
+    )
+    # An association that tells no place is compared with the names of all places.
+    ch = ch.withColumn("blocks", F.when(F.size("blocks") == 0, F.array(F.lit("all"))).otherwise(F.col("blocks")))
+    ch = staged(ch.select(
+        "id", "named", "core", "kinds", "plural", "letters", "pc", "outward", "web", "mail", "places", "blocks",
+        F.col("a.core").alias("addr_core"), F.col("a.kinds").alias("addr_kinds"), F.col("a.grams").alias("addr_grams"),
+        F.col("o.core").alias("obj_core"), F.col("o.kinds").alias("obj_kinds"), F.col("o.grams").alias("obj_grams"),
+        variants.grams_of("core").alias("name_grams"),
+    ), "charities")
+
+    # Each text of a charity is a set of its own; its id keeps the charity's in the upper part.
+    texts = [
+        ch.select((F.col("id") * 4 + i).alias("id"), F.explode("blocks").alias("block"), F.col(g).alias("grams")).where(F.size("grams") > 0)
+        for i, g in enumerate(("name_grams", "addr_grams", "obj_grams"))
+    ]
+    left = texts[0].unionByName(texts[1]).unionByName(texts[2])
+    right = known.where(F.size("grams") > 0).select("id", F.explode("blocks").alias("block"), "grams")
+    by_name = variants.similar_sets(left, right, 0.25).select(F.floor(F.col("l") / 4).cast("long").alias("l"), "r")
+
+    now = staged(
+        open_schools(spark, sf_dir).select("urn", "pc", "outward", host(F.col("website")).alias("site")).distinct(), "schools"
+    )
+    sites, codes = now.where("site is not null").select("urn", "site").distinct(), now.where("pc is not null").select("urn", "pc").distinct()
+    mails = ch.select("id", F.explode(F.array_compact(F.array("web", "mail"))).alias("site")).distinct()
+    direct = ch.select("id", "pc").join(codes, "pc").select("id", "urn").unionByName(mails.join(sites, "site").select("id", "urn")).distinct()
+    by_key = direct.join(known.select(F.col("id").alias("r"), F.col("target").alias("urn")), "urn").select(F.col("id").alias("l"), "r")
+    pairs = by_name.unionByName(by_key).distinct()
+
+    a = ch.select(F.col("id").alias("l"), "core", "kinds", "letters", "addr_core", "addr_kinds", "obj_core", "obj_kinds")
+    b = known.join(weights, "id", "left").select(
+        F.col("id").alias("r"), F.col("core").alias("b_core"), F.col("kinds").alias("b_kinds"), F.col("phase").alias("b_phase"), F.col("name").alias("b_name"),
+        F.coalesce("weights", F.expr("cast(array() as array<double>)")).alias("weights"), variants.place_words("place").alias("place"),
+    )
+    scored = linkage.compare(pairs.join(a, "l").join(b, "r"))
+    scored = scored.join(known.select(F.col("id").alias("r"), F.col("target").alias("urn"), fold(F.col("place")).alias("town"), "la_name"), "r")
+    part = lambda s, k: F.coalesce(F.col(s) + 0.12 * F.col(k), F.lit(0.0))
+    total = F.greatest(part("name_score", "name_kind"), part("addr_score", "addr_kind"), part("obj_score", "obj_kind"))
+    best = scored.withColumn("total", total).groupBy("l", "urn").agg(
+        *[F.max_by(F.struct(f"{t}_score", f"{t}_kind"), part(f"{t}_score", f"{t}_kind")).alias(t) for t in ("name", "addr", "obj")],
+        F.max("initials").alias("initials"), F.max("total").alias("score"), F.first("town").alias("town"), F.first("la_name").alias("la_name"),
+    )
+    facts = best.join(ch.select(F.col("id").alias("l"), "plural", "core", "letters", "pc", "outward", "web", "mail", "places"), "l")
+    here = now.groupBy("urn").agg(F.collect_set("pc").alias("pcs"), F.collect_set("outward").alias("outs"), F.collect_set("site").alias("sites"))
+    facts = facts.join(here, "urn")
+    # A host is a school's if some school has it; others say nothing.
+    own = sites.select("site").distinct()
+    facts = facts.join(own.select(F.col("site").alias("web"), F.lit(True).alias("web_known")), "web", "left")
+    facts = facts.join(own.select(F.col("site").alias("mail"), F.lit(True).alias("mail_known")), "mail", "left")
+    vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
+    text = lambda t: vote((F.col(f"{t}.{t}_score") >= 0.72) & (F.col(f"{t}.{t}_kind") > -0.5), (F.col(f"{t}.{t}_score") < 0.45) | (F.col(f"{t}.{t}_kind") <= -0.8))
+    top = F.max("score").over(Window.partitionBy("l"))
+    place = F.array_contains("places", F.col("town")) | F.array_contains("places", F.col("la_name"))
+    voted = facts.select(
+        F.col("l").alias("charity_number"), "urn", "score", "plural",
+        F.when(F.col("letters") != "", 0).otherwise(text("name")).alias("v_name"),
+        vote(F.greatest("name.name_kind", "obj.obj_kind") >= 0.5, F.least("name.name_kind", "obj.obj_kind") <= -0.5).alias("v_kind"),
+        text("addr").alias("v_addr"), text("obj").alias("v_obj"),
+        vote(F.array_contains("pcs", F.col("pc")), ~F.array_contains("outs", F.col("outward"))).alias("v_pc"),
+        vote(F.array_contains("sites", F.col("web")), F.col("web_known")).alias("v_web"),
+        vote(F.array_contains("sites", F.col("mail")), F.col("mail_known")).alias("v_mail"),
+        vote(place, F.exists("places", lambda p: p == F.col("town")).isNotNull() & ~place & (F.size("places") >= 3)).alias("v_place"),
+        vote((F.col("letters") != "") & F.col("initials"), (F.col("letters") != "") & ~F.col("initials")).alias("v_initials"),
+        vote(F.col("score") >= top - 0.02, F.col("score") < top - 0.1).alias("v_best"),
+    )
+    return linkage.confidence(voted, VOTES)
+
+
+@C.query("p2_links")
+def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The links between associations and schools with their confidence."""
+    pairs = staged(association_links(spark, sf_dir), "links")
+    # The best school of each association; an association of schools may have a second one, as good but for its kind.
+    evidence = sum((F.col(v) for v in VOTES), F.lit(0))
+    w = Window.partitionBy("charity_number").orderBy(F.col("confidence").desc(), F.col("score").desc(), evidence.desc(), "urn")
+    ranked = pairs.withColumn("place", F.row_number().over(w)).withColumn("top", F.first("score").over(w))
+    # A name that says otherwise must be outweighed by another text or address of the association, not by its place alone.
+    backed = (F.col("v_name") >= 0) | (F.greatest("v_addr", "v_obj", "v_web", "v_mail") == 1)
+    first = (F.col("place") == 1) & (F.col("confidence") >= 0.5)
+    alike = (F.col("confidence") >= 0.5) | ((F.col("v_name") == 1) & (F.col("v_pc") >= 0) & (F.col("v_place") >= 0))
+    second = (F.col("place") == 2) & F.col("plural") & alike & (F.col("score") >= F.col("top") - 0.4)
+    return ranked.where(backed & (first | second)).select("urn", "charity_number", "confidence")
+
+
+@C.query("p2_found")
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every parents' association with the school it belongs to, as that school is open now."""
+    return p2_links(spark, sf_dir).select("urn", "charity_number")

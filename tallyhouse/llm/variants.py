@@ -11,8 +11,9 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tallyhouse.llm import names
 from tallyhouse.session import staged
@@ -20,7 +21,9 @@ from tallyhouse.session import staged
 #: Letters a to z and the two marks of start and end: there are no more q-grams than 28 ** 3, so their counts may be broadcast.
 ALPHABET = 28
 
-PARSED = "core array<string>, kinds array<string>, grams array<string>"
+#: Types are spelt out: a type in words is only understood where a session runs.
+WORDS = ArrayType(StringType())
+PARSED = StructType([StructField("core", WORDS), StructField("kinds", WORDS), StructField("grams", WORDS)])
 
 
 @F.pandas_udf(PARSED)
@@ -41,6 +44,12 @@ def parsed_at(text: pd.Series, place: pd.Series) -> pd.DataFrame:
     return pd.DataFrame({"core": [r[0] for r in rows], "kinds": [r[1] for r in rows], "grams": [names.grams(r[0]) for r in rows]})
 
 
+@F.pandas_udf(WORDS)
+def grams_of(core: pd.Series) -> pd.Series:
+    """The letter q-grams of words found before."""
+    return core.map(lambda c: names.grams(list(c)) if c is not None else [])
+
+
 def word_weights(named: DataFrame, ident: str = "id") -> DataFrame:
     """(``ident``, weights): for each word of ``core`` the log of how rare it is among all names, common second words less."""
     one = named.select(ident, F.posexplode("core").alias("pos", "word"))
@@ -61,7 +70,7 @@ def _prefix(counts: dict[str, int], threshold: float):  # noqa: ANN202
             out.append(x[: len(x) - math.ceil(threshold * len(x) - 1e-9) + 1] if len(x) else [])
         return pd.Series(out)
 
-    return F.pandas_udf(first, "array<string>")
+    return F.pandas_udf(first, WORDS)
 
 
 def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
@@ -108,7 +117,7 @@ def verify(pairs: DataFrame) -> DataFrame:
     return pairs.mapInPandas(run, SCORED)
 
 
-@F.pandas_udf("array<string>")
+@F.pandas_udf(WORDS)
 def place_words(text: pd.Series) -> pd.Series:
     """Words of the name of a place."""
     return text.map(lambda t: names.squeeze(t).replace("-", " ").split() if t else [])
