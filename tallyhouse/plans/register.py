@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.clean import fold, loose_date, postcode
@@ -13,11 +13,15 @@ from tallyhouse.plans.catalogue import Catalogue, table
 
 C = Catalogue()
 
-P1_STATE = {
-    "status": fold(F.col("status")),
-    "close_date": loose_date(F.col("close_date")),
-    "former_urns": F.coalesce(F.array_sort(F.array_distinct(F.array_compact("former_urns"))), F.expr("cast(array() as array<bigint>)")),
-}
+def p1_state() -> dict[str, Column]:
+    """What makes a version of a school: folded status, close date as a date, former URNs as a set."""
+    former = F.array_sort(F.array_distinct(F.array_compact("former_urns")))
+    return {
+        "status": fold(F.col("status")),
+        "close_date": loose_date(F.col("close_date")),
+        "former_urns": F.coalesce(former, F.expr("cast(array() as array<bigint>)")),
+    }
+
 
 _P1_RESOLVED = r"""
 WITH typed AS (
@@ -51,7 +55,7 @@ FROM starts"""
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Versions of status, close date and former URNs of every school, with the period each was valid."""
     history = attribute_history(
-        table(spark, sf_dir, "establishment_snapshot"), key="urn", snapshot="snapshot_date", loaded="loaded_at", state=P1_STATE
+        table(spark, sf_dir, "establishment_snapshot"), key="urn", snapshot="snapshot_date", loaded="loaded_at", state=p1_state()
     )
     return history.select(
         "urn",
@@ -70,7 +74,7 @@ def p1_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The same versions with the state each one holds."""
     history = attribute_history(
         table(spark, sf_dir, "establishment_snapshot"), key="urn", snapshot="snapshot_date", loaded="loaded_at",
-        state=P1_STATE, keep_state=True,
+        state=p1_state(), keep_state=True,
     )
     return history.withColumn("former_urns", F.array_join(F.col("former_urns").cast("array<string>"), ","))
 
