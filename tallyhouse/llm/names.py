@@ -154,7 +154,7 @@ def word_likeness(a: str, b: str) -> float:
         if len(x) >= 4 and b.startswith(x):
             return 0.74
     n = max(len(a), len(b))
-    most = 1 if n <= 5 else 2 if n <= 9 else 3
+    most = 1 if n <= 5 else 2 if n <= 13 else 3
     d = edits(a, b, most)
     return 1 - d / n if d <= most and n - d >= 3 else 0.0
 
@@ -197,7 +197,7 @@ def soft_score(typed: list[str], name: list[str], weights: list[float], place: l
             even = max(even, 0.55 * sure + 0.45 * even)
         a, b = "".join(words), "".join(name)
         n = max(len(a), len(b))
-        most = 1 if n <= 5 else 2 if n <= 11 else 3
+        most = 1 if n <= 5 else 2 if n <= 15 else 3
         d = edits(a, b, most)
         tight = 1 - d / n if d <= most and n > 2 * d else 0.0
         best = max(best, even, tight)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.functions.clean import fold, postcode
-from tallyhouse.llm import bpe, linkage, mixing, percentiles, variants
+from tallyhouse.llm import bpe, linkage, mixing, percentiles, subjects, variants
 from tallyhouse.plans.catalogue import Catalogue, table
 from tallyhouse.session import staged
 
@@ -340,3 +340,36 @@ def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every parents' association with the school it belongs to, as that school is open now."""
     return p2_links(spark, sf_dir).select("urn", "charity_number")
+
+
+# --- subjects ---------------------------------------------------------------------------------------------------------
+
+#: Labelled documents that a model is fitted to at most; where there are more, a hash of their ids chooses.
+LABELLED = 3000
+
+
+def subject_lists(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(doc_id, subjects, probability) of every document."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", mixing.source_key(F.col("source")).alias("source"))
+    areas = sorted(r.subject for r in table(spark, sf_dir, "subject_area").select("subject").distinct().collect() if r.subject)
+    model = subjects.fit_from(docs, table(spark, sf_dir, "subject_label"), areas, bound=LABELLED)
+    return subjects.label(docs, model)
+
+
+@C.query("p9_found")
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The subjects of every document that has no label given by hand."""
+    given = table(spark, sf_dir, "subject_label").select("doc_id").distinct()
+    rows = subject_lists(spark, sf_dir).join(given, "doc_id", "left_anti")
+    return rows.select("doc_id", F.explode("subjects").alias("subject")).distinct()
+
+
+@C.query("p9_composition")
+def p9_composition(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The make-up of the corpus: documents and characters by subject; a document of several subjects counts in part."""
+    rows = subject_lists(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
+    some = F.when(F.size("subjects") > 0, F.col("subjects")).otherwise(F.array(F.lit("none")))
+    part = rows.select(F.explode(some).alias("subject"), (1 / F.greatest(F.size("subjects"), F.lit(1))).alias("part"), "n")
+    return part.groupBy("subject").agg(
+        F.count(F.lit(1)).alias("documents"), F.sum("part").alias("share_of_documents"), F.sum(F.col("part") * F.coalesce("n", F.lit(0))).alias("characters")
+    )
