@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def all_catalogues() -> list:
     """The catalogues of the core, in the order of their importance."""
-    from tallyhouse.plans import register
+    from tallyhouse.plans import panels, register, relations
 
-    return [register.C]
+    return [register.C, panels.C, relations.C]
