@@ -18,16 +18,19 @@ CATALOGUES = [C]
 MEASURES = ("revenue_reserve", "total_expenditure")
 
 _P5_VALUES = """
-WITH resolved AS (
-  SELECT la, CAST(left(year, 4) AS INTEGER) AS start_year, revenue_reserve, total_expenditure, suspect FROM finance_history
-  WHERE urn IS NOT NULL AND period_end IS NOT NULL
-  QUALIFY row_number() OVER (PARTITION BY urn, period_end ORDER BY loaded_at DESC NULLS LAST) = 1),
+WITH known AS (
+  SELECT urn, period_end, loaded_at, la, year,
+    CASE WHEN NOT coalesce(list_contains(suspect, 'revenue_reserve'), false) THEN revenue_reserve END AS rr,
+    CASE WHEN NOT coalesce(list_contains(suspect, 'total_expenditure'), false) THEN total_expenditure END AS te
+  FROM finance_history WHERE urn IS NOT NULL AND period_end IS NOT NULL),
+resolved AS (
+  SELECT la, try_cast(left(year, 4) AS INTEGER) AS start_year, rr, te FROM known
+  QUALIFY row_number() OVER (PARTITION BY urn, period_end ORDER BY loaded_at DESC NULLS LAST, la DESC NULLS LAST,
+    year DESC NULLS LAST, rr DESC NULLS LAST, te DESC NULLS LAST) = 1),
 v AS (
-  SELECT la, start_year, 'revenue_reserve' AS measure, revenue_reserve AS value FROM resolved
-  WHERE NOT coalesce(list_contains(suspect, 'revenue_reserve'), false)
+  SELECT la, start_year, 'revenue_reserve' AS measure, rr AS value FROM resolved
   UNION ALL
-  SELECT la, start_year, 'total_expenditure', total_expenditure FROM resolved
-  WHERE NOT coalesce(list_contains(suspect, 'total_expenditure'), false)),
+  SELECT la, start_year, 'total_expenditure', te FROM resolved),
 ranked AS (
   SELECT *, row_number() OVER w AS rn, count(*) OVER (PARTITION BY la, start_year, measure) AS n FROM v
   WHERE value IS NOT NULL AND la IS NOT NULL AND start_year IS NOT NULL
@@ -205,7 +208,7 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 #: Fixed value: how the objects of parents' associations name their school.
 OBJECTS = r"(?i)(?:pupils (?:in|of|at)|children who attend|money for|benefit of|pupils attending)\s+(.+?)(?:,?\s+and to bring|,?\s+by (?:giving|providing)|\s+and hold|[.;]|$)"
 
-VOTES = ["v_name", "v_kind", "v_addr", "v_obj", "v_pc", "v_web", "v_mail", "v_place", "v_initials", "v_best"]
+VOTES = ["v_name", "v_kind", "v_addr", "v_obj", "v_pc", "v_web", "v_mail", "v_place", "v_best"]
 
 
 def host(c: Column) -> Column:
@@ -279,7 +282,7 @@ def association_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     mails = ch.select("id", F.explode(F.array_compact(F.array("web", "mail"))).alias("site")).distinct()
     direct = ch.select("id", "pc").join(codes, "pc").select("id", "urn").unionByName(mails.join(sites, "site").select("id", "urn")).distinct()
     by_key = direct.join(known.select(F.col("id").alias("r"), F.col("target").alias("urn")), "urn").select(F.col("id").alias("l"), "r")
-    pairs = by_name.unionByName(by_key).distinct()
+    pairs = staged(by_name.unionByName(by_key).distinct(), "pairs")
 
     a = ch.select(F.col("id").alias("l"), "core", "kinds", "letters", "addr_core", "addr_kinds", "obj_core", "obj_kinds")
     b = known.join(weights, "id", "left").select(
@@ -290,10 +293,10 @@ def association_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     scored = scored.join(known.select(F.col("id").alias("r"), F.col("target").alias("urn"), fold(F.col("place")).alias("town"), "la_name"), "r")
     part = lambda s, k: F.coalesce(F.col(s) + 0.12 * F.col(k), F.lit(0.0))
     total = F.greatest(part("name_score", "name_kind"), part("addr_score", "addr_kind"), part("obj_score", "obj_kind"))
-    best = scored.withColumn("total", total).groupBy("l", "urn").agg(
+    best = staged(scored.withColumn("total", total).groupBy("l", "urn").agg(
         *[F.max_by(F.struct(f"{t}_score", f"{t}_kind"), part(f"{t}_score", f"{t}_kind")).alias(t) for t in ("name", "addr", "obj")],
         F.max("initials").alias("initials"), F.max("total").alias("score"), F.first("town").alias("town"), F.first("la_name").alias("la_name"),
-    )
+    ), "best")
     facts = best.join(ch.select(F.col("id").alias("l"), "plural", "core", "letters", "pc", "outward", "web", "mail", "places"), "l")
     here = now.groupBy("urn").agg(F.collect_set("pc").alias("pcs"), F.collect_set("outward").alias("outs"), F.collect_set("site").alias("sites"))
     facts = facts.join(here, "urn")
@@ -307,14 +310,13 @@ def association_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     place = F.array_contains("places", F.col("town")) | F.array_contains("places", F.col("la_name"))
     voted = facts.select(
         F.col("l").alias("charity_number"), "urn", "score", "plural",
-        F.when(F.col("letters") != "", 0).otherwise(text("name")).alias("v_name"),
+        F.when(F.col("letters") != "", F.when(F.col("initials"), 1).otherwise(-1)).otherwise(text("name")).alias("v_name"),
         vote(F.greatest("name.name_kind", "obj.obj_kind") >= 0.5, F.least("name.name_kind", "obj.obj_kind") <= -0.5).alias("v_kind"),
         text("addr").alias("v_addr"), text("obj").alias("v_obj"),
         vote(F.array_contains("pcs", F.col("pc")), ~F.array_contains("outs", F.col("outward"))).alias("v_pc"),
         vote(F.array_contains("sites", F.col("web")), F.col("web_known")).alias("v_web"),
         vote(F.array_contains("sites", F.col("mail")), F.col("mail_known")).alias("v_mail"),
         vote(place, F.exists("places", lambda p: p == F.col("town")).isNotNull() & ~place & (F.size("places") >= 3)).alias("v_place"),
-        vote((F.col("letters") != "") & F.col("initials"), (F.col("letters") != "") & ~F.col("initials")).alias("v_initials"),
         vote(F.col("score") >= top - 0.02, F.col("score") < top - 0.1).alias("v_best"),
     )
     return linkage.confidence(voted, VOTES)

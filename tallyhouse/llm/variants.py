@@ -11,6 +11,7 @@ import math
 from collections.abc import Iterator
 
 import pandas as pd
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, StringType, StructField, StructType
@@ -54,17 +55,17 @@ def word_weights(named: DataFrame, ident: str = "id") -> DataFrame:
     """(``ident``, weights): for each word of ``core`` the log of how rare it is among all names, common second words less."""
     one = named.select(ident, F.posexplode("core").alias("pos", "word"))
     df = named.select(F.explode(F.array_distinct("core")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
-    n = named.agg(F.count(F.lit(1)).alias("n"))
-    w = F.log1p(F.col("n") / F.col("df")) * F.when(F.col("word").isin(*sorted(names.COMMON | names.TITLES)), F.lit(0.6)).otherwise(F.lit(1.0))
-    scored = one.join(df, "word").join(F.broadcast(n)).select(ident, "pos", w.alias("w"))
+    n = F.lit(named.count())
+    w = F.log1p(n / F.col("df")) * F.when(F.col("word").isin(*sorted(names.COMMON | names.TITLES)), F.lit(0.6)).otherwise(F.lit(1.0))
+    scored = one.join(df, "word").select(ident, "pos", w.alias("w"))
     return scored.groupBy(ident).agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("_w")).select(
         ident, F.transform("_w", lambda x: x["w"]).alias("weights")
     )
 
 
-def _prefix(counts: dict[str, int], threshold: float):  # noqa: ANN202
+def _prefix(shared: Broadcast, threshold: float):  # noqa: ANN202
     def first(grams: pd.Series) -> pd.Series:
-        out = []
+        out, counts = [], shared.value
         for g in grams:
             x = sorted(g, key=lambda t: (counts.get(t, 0), t)) if g is not None else []
             out.append(x[: len(x) - math.ceil(threshold * len(x) - 1e-9) + 1] if len(x) else [])
@@ -83,16 +84,18 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
     counts = {r.g: r.n for r in counted.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) > ALPHABET**3:
         raise ValueError("grams must be 3-grams over letters")
-    first = _prefix(counts, threshold)
+    first = _prefix(left.sparkSession.sparkContext.broadcast(counts), threshold)
 
     def side(d: DataFrame, name: str) -> DataFrame:
-        return d.where(F.col("block").isNotNull()).select(
+        # Block and gram as one number: half the bytes to shuffle; a chance meeting of two is undone by the check below.
+        d = d.where(F.col("block").isNotNull()).select(
             F.col("id").alias(name), "block", F.size("grams").alias(f"{name}_n"), F.explode(first("grams")).alias("g")
         )
+        return d.select(name, f"{name}_n", F.xxhash64("block", "g").alias("key"))
 
     a, b = side(left, "l"), side(right, "r")
     near = (F.col("r_n") >= F.col("l_n") * threshold) & (F.col("l_n") >= F.col("r_n") * threshold)
-    pairs = a.join(b, ["block", "g"]).where(near).select("l", "r").distinct()
+    pairs = a.join(b, "key").where(near).select("l", "r").distinct()
     la = left.select(F.col("id").alias("l"), F.col("grams").alias("lg")).dropDuplicates(["l"])
     rb = right.select(F.col("id").alias("r"), F.col("grams").alias("rg")).dropDuplicates(["r"])
     both = pairs.join(la, "l").join(rb, "r")
@@ -139,14 +142,14 @@ def link_variants(
     k = known.where(F.col("target").isNotNull() & F.col("name").isNotNull()).select("target", "name", "phase", "place", "blocks").distinct()
     k = k.withColumn("id", F.xxhash64("target", "name", "phase", "place", "blocks")).withColumn("p", parsed("name"))
     k = staged(k.select("id", "target", "phase", "place", "blocks", "p.*").where(F.size("core") > 0), "known")
-    k = k.join(word_weights(k), "id")
+    k = staged(k.join(word_weights(k), "id"), "weighed")
     t = typed.where(F.col("name").isNotNull()).withColumn("key", F.xxhash64(F.lower(F.trim("name")), "phase", "blocks"))
     one = t.groupBy("key").agg(F.first("name").alias("name"), F.first("phase").alias("phase"), F.first("blocks").alias("blocks"))
     block_place = k.where("place is not null").select(F.explode("blocks").alias("block"), "place").groupBy("block").agg(F.mode("place", True).alias("place"))
     places = one.select("key", F.explode("blocks").alias("block")).join(block_place, "block").groupBy("key").agg(F.max("place").alias("place"))
     one = staged(one.join(places, "key", "left").withColumn("p", parsed_at("name", "place")).select(F.col("key").alias("id"), "phase", "blocks", "p.*").where(F.size("core") > 0), "typed")
     flat = lambda d: d.select("id", F.explode("blocks").alias("block"), "grams")
-    pairs = similar_sets(flat(one), flat(k), threshold)
+    pairs = staged(similar_sets(flat(one), flat(k), threshold), "pairs")
     a = one.select(F.col("id").alias("l"), F.col("core").alias("a_core"), F.col("kinds").alias("a_kinds"), F.col("phase").alias("a_phase"))
     b = k.select(
         F.col("id").alias("r"), "target", F.col("core").alias("b_core"), F.col("kinds").alias("b_kinds"), F.col("phase").alias("b_phase"),
