@@ -411,13 +411,13 @@ def q_survival_inverse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """WITH c AS (SELECT l_orderkey, l_linenumber, l_partkey, l_suppkey, l_discount * 5 AS chance FROM lineitem),
 p AS (SELECT *, coalesce(exp(sum(CASE WHEN chance < 1 THEN ln(1 - chance) END) OVER w), 1) AS lft FROM c
   WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, chance ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))
-SELECT l_orderkey, round(sum(chance * lft), 6) AS any_choice, round(max(chance * lft), 6) AS best FROM p GROUP BY l_orderkey""",
+SELECT l_orderkey, round(sum(chance * lft) + 1e-9, 6) AS any_choice, round(max(chance * lft) + 1e-9, 6) AS best FROM p GROUP BY l_orderkey""",
 )
 def q_running_product(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Ranked choices: the chance of getting any of them, and of the likeliest."""
     c = table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", (F.col("l_discount") * 5).alias("chance"))
     r = survival.ranked_choices(c, ["l_orderkey"], ["l_linenumber", "l_partkey", "l_suppkey", "chance"], "chance")
-    return r.groupBy("l_orderkey").agg(F.round(F.sum("obtained"), 6).alias("any_choice"), F.round(F.max("obtained"), 6).alias("best"))
+    return r.groupBy("l_orderkey").agg(F.round(F.sum("obtained") + 1e-9, 6).alias("any_choice"), F.round(F.max("obtained") + 1e-9, 6).alias("best"))
 
 
 @C.query(
