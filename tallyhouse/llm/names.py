@@ -86,6 +86,10 @@ def _word(w: str) -> str:
         return ABBREVIATIONS[w]
     if w in KINDS or w in EMPTY_WORDS or w in COMMON:
         return w
+    if len(w) == 4:
+        for short in ("prim", "acad", "cath", "nurs", "spec"):
+            if sorted(w) == sorted(short) and edits(w, short, 1) == 1:
+                return ABBREVIATIONS[short]
     if len(w) >= 4:
         for known in _FUZZY:
             if abs(len(known) - len(w)) <= 1 and edits(w, known, 1) <= 1 and w[0] == known[0]:
@@ -113,10 +117,9 @@ def analyse(text: str | None) -> tuple[list[str], list[str]]:
             core[-1] += "s"
             continue
         full = _word(w)
-        if w == "st" and core:
-            full = "street"
-        if full == "street" and not core and i + 1 < len(words):
-            full = "saint"
+        if w == "st":  # before another word of the name it is a saint, after one a street
+            after = _word(words[i + 1]) if i + 1 < len(words) else ""
+            full = "saint" if after and after not in KINDS and after not in EMPTY_WORDS else "street" if core else "saint"
         if full in KINDS:
             kinds.add(KINDS[full])
         elif full not in EMPTY_WORDS:

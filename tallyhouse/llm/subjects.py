@@ -113,7 +113,7 @@ def evidence(x: Texts, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     rival = np.partition(np.concatenate([s[:, :k], s[:, k:]], axis=1), -2, axis=1)[:, -2:]
     top = np.where(s[:, :k] == rival[:, 1:2], rival[:, 0:1], rival[:, 1:2])
     clear = np.clip(s[:, :k] - top, -10, 10)
-    n_par, out = len(x.doc_of), np.zeros((x.n, k, 4))
+    n_par = len(x.doc_of)
     in_par = np.bincount(x.par_of, minlength=n_par).astype(float)
     hits, sure, total = np.zeros((n_par, k)), np.zeros((n_par, k)), np.zeros((n_par, k))
     np.add.at(hits, x.par_of, clear > 1)
@@ -121,7 +121,7 @@ def evidence(x: Texts, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     np.add.at(total, x.par_of, np.clip(gain, -6, 6))
     share = sure / np.maximum(in_par, 1)[:, None]
     best = np.zeros((x.n, k, 4))
-    rank = total
+    rank = sure + 1e-3 * total  # the paragraph with most sentences that speak of the subject rather than of any other
     order = np.argsort(x.doc_of, kind="stable")
     for j in range(k):
         top_rank = np.full(x.n, -np.inf)
@@ -135,7 +135,6 @@ def evidence(x: Texts, table: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         best[ok, j, 1] = share[p, j]
         best[ok, j, 2] = np.clip(total[p, j], -30, 30) / 10
         best[ok, j, 3] = np.log1p(sure[p, j])
-    del out
     pars = np.bincount(x.doc_of, minlength=x.n)
     sents = np.bincount(x.doc_of[x.par_of], minlength=x.n) if len(x.par_of) else np.zeros(x.n)
     layout = np.stack([np.log1p(pars), np.log1p(sents), pars == 0], axis=1).astype(float)
