@@ -2,8 +2,9 @@
 
 Keys fall into leaf buckets, ``fanout`` leaves into a branch, and so on up to one root.  Every node has a digest for every
 snapshot.  Only below nodes whose digest differs from that of the snapshot before are the children compared; the rows of
-the leaves that still differ are diffed and their new versions kept.  All rows cross one shuffle, as five fixed-width
-columns partitioned by branch; leaf digests, branch digests, the diff and the versions are made inside those partitions.
+the leaves that still differ are diffed and their new versions kept.  All rows cross one shuffle, as fixed-width columns
+partitioned by branch, and are written resolved, whole branches to a file; after that only digests and the rows of changed
+leaves move.
 """
 
 from __future__ import annotations
@@ -13,6 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tallyhouse.session import staged
 
 def fingerprint(state: Sequence[Column]) -> Column:
     """64-bit hash of a state; a null differs from every value, and neighbouring columns can't run into each other."""
@@ -97,7 +99,8 @@ def attribute_history(
     )
     by_key = Window.partitionBy("_branch", "_leaf", "_key")
     last = F.lead("_at").over(by_key.orderBy("_at", F.col("_loaded").asc_nulls_first(), "_fp"))
-    rows = rows.withColumn("_next", last).where(F.col("_next").isNull() | (F.col("_next") != F.col("_at"))).drop("_next")
+    rows = rows.withColumn("_next", last).where(F.col("_next").isNull() | (F.col("_next") != F.col("_at")))
+    rows = staged(rows.select("_key", "_at", "_fp", "_leaf", "_branch"), "resolved")
 
     cell = F.xxhash64("_key", "_fp"), F.xxhash64(F.lit(1), "_fp", "_key")
     digests = [F.bit_xor(cell[0]).alias("_d1"), F.bit_xor(cell[1]).alias("_d2"), F.count(F.lit(1)).alias("_n")]
