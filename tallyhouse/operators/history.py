@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.session import staged
 
+
 def fingerprint(state: Sequence[Column]) -> Column:
     """64-bit hash of a state; a null differs from every value, and neighbouring columns can't run into each other."""
     parts: list[Column] = []

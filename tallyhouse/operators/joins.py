@@ -122,30 +122,30 @@ def nearest_values(df: DataFrame, block: list[str], ident: str, measures: dict[s
     ring, until its k-th distance is no more than the rings searched so far prove complete.
     """
     names = list(measures)
-    x = df.select(*block, F.col(ident).alias("a"), *[(F.col(m) / s).alias(f"_{i}") for i, (m, s) in enumerate(measures.items())])
+    x = df.select(*block, F.col(ident).alias("_a"), *[(F.col(m) / s).alias(f"_{i}") for i, (m, s) in enumerate(measures.items())])
     x = staged(x.where(" and ".join(f"_{i} is not null" for i in range(len(names)))).withColumn("_cell", F.floor("_0").cast("long")), "knn")
-    other = x.select(*block, F.col("a").alias("b"), F.col("_cell").alias("_bc"), *[F.col(f"_{i}").alias(f"o{i}") for i in range(len(names))])
+    other = x.select(*block, F.col("_a").alias("_b"), F.col("_cell").alias("_bc"), *[F.col(f"_{i}").alias(f"_o{i}") for i in range(len(names))])
     span = x.agg(F.max("_cell") - F.min("_cell")).first()[0] or 0
     sizes = x.groupBy(*block).agg((F.count(F.lit(1)) - 1).alias("_others"))
     todo, ring, found = x.join(sizes, block), 1, None
     while True:
         cells = F.sequence(F.col("_cell") - ring, F.col("_cell") + ring)
-        pairs = todo.withColumn("_bc", F.explode(cells)).join(other, [*block, "_bc"]).where("a <> b")
-        d = sum((F.abs(F.col(f"_{i}") - F.col(f"o{i}")) for i in range(len(names))), F.lit(0.0))
-        w = Window.partitionBy(*block, "a").orderBy("distance", "b")
+        pairs = todo.withColumn("_bc", F.explode(cells)).join(other, [*block, "_bc"]).where("_a <> _b")
+        d = sum((F.abs(F.col(f"_{i}") - F.col(f"_o{i}")) for i in range(len(names))), F.lit(0.0))
+        w = Window.partitionBy(*block, "_a").orderBy("distance", "_b")
         near = pairs.withColumn("distance", d).withColumn("place", F.row_number().over(w)).where(F.col("place") <= k)
-        near = staged(near.select(*block, "a", "b", "distance", "place", "_others"), f"knn-{ring}")
-        full = near.groupBy(*block, "a").agg(F.max("distance").alias("_d"), F.max("place").alias("_p"), F.first("_others").alias("_others"))
+        near = staged(near.select(*block, "_a", "_b", "distance", "place", "_others"), f"knn-{ring}")
+        full = near.groupBy(*block, "_a").agg(F.max("distance").alias("_d"), F.max("place").alias("_p"), F.first("_others").alias("_others"))
         done = full.where(((F.col("_p") == F.least(F.lit(k), F.col("_others"))) & (F.col("_d") <= ring)) | F.lit(ring >= span + 1))
-        good = near.join(done.select(*block, "a"), [*block, "a"], "left_semi").drop("_others")
+        good = near.join(done.select(*block, "_a"), [*block, "_a"], "left_semi").drop("_others")
         found = good if found is None else found.unionByName(good)
         if ring >= span + 1:
             break
-        todo = todo.join(done.select(*block, "a"), [*block, "a"], "left_anti")
+        todo = todo.join(done.select(*block, "_a"), [*block, "_a"], "left_anti")
         if todo.isEmpty():
             break
         ring *= 4
-    return found.select(*block, F.col("a").alias(ident), F.col("b").alias("other"), "distance", "place")
+    return found.select(*block, F.col("_a").alias(ident), F.col("_b").alias("other"), "distance", "place")
 
 
 def within_metres(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
