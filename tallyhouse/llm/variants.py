@@ -127,7 +127,7 @@ def place_words(text: pd.Series) -> pd.Series:
 
 
 def link_variants(
-    typed: DataFrame, known: DataFrame, *, threshold: float = 0.14, accept: float = 0.58, margin: float = 0.02
+    typed: DataFrame, known: DataFrame, *, threshold: float = 0.14, accept: float = 0.47, margin: float = 0.02
 ) -> DataFrame:
     """(id, target, score, second): for each typed name the entity it means, where one is clear.
 
