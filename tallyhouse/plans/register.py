@@ -114,10 +114,11 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("urn_a"), F.col("id_b").alias("urn_b"))
 
 
-def return_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+def return_cells(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> DataFrame:
     """The cells of all workbooks: family (the source), edition (the book's year), entity (the URN), header, kind, text, num."""
-    raw = table(spark, sf_dir, "finance_return_raw")
+    raw = table(spark, sf_dir, "finance_return_raw") if raw is None else raw
     by = {
+        **({"record_id": F.col("record_id")} if "record_id" in raw.columns else {}),
         "family": F.upper(F.trim("source")),
         "edition": F.nullif(F.regexp_extract("file_name", r"(\d{4}-\d{2})", 1), F.lit("")),
         "entity": F.get_json_object("payload", "$.URN"),
@@ -131,3 +132,17 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return drift.schema_changes(return_cells(spark, sf_dir)).select(
         F.col("family").alias("source"), F.col("edition").alias("book_year"), "change_kind", "old_field", "new_field"
     )
+
+
+@C.query("p6_returns")
+def p6_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One table of all returns: figures and texts of each record under the last name of every column.
+
+    Of a record that comes twice the one read last counts.
+    """
+    raw = table(spark, sf_dir, "finance_return_raw").where("record_id is not null")
+    last = raw.groupBy("record_id").agg(F.max_by(F.struct("file_name", "source", "payload"), F.struct("read_at", "file_name", "payload")).alias("r"))
+    cells = return_cells(spark, sf_dir, last.select("record_id", "r.*"))
+    changes = drift.schema_changes(return_cells(spark, sf_dir, table(spark, sf_dir, "finance_return_raw").drop("record_id")))
+    rows = drift.united(cells, changes, ["record_id"])
+    return rows.select("record_id", F.col("family").alias("source"), F.col("edition").alias("book_year"), "lines", "texts")

@@ -41,3 +41,12 @@ def test_chain_of_names():
     cols = [("A", "1", "x"), ("A", "2", "y"), ("A", "3", "z"), ("A", "1", "k")]
     got = drift.canonical_names(cols, [("A", "2", "x", "y"), ("A", "3", "y", "z")])
     assert got == {("A", "1", "x"): "z", ("A", "2", "y"): "z", ("A", "3", "z"): "z", ("A", "1", "k"): "k"}
+
+
+def test_united(spark):
+    rows = [("A", "1", 1, '{"URN": 1, "Total spend": 5, "name": "Mill"}'), ("A", "1", 2, '{"URN": 2, "Total spend": "c"}'), ("A", "2", 3, '{"URN": 3, "All spending": "£7", "extra": 1}')]
+    raw = spark.createDataFrame(rows, "family string, edition string, id int, payload string")
+    cells = drift.cells(raw, "payload", {"family": F.col("family"), "edition": F.col("edition"), "id": F.col("id")})
+    moved = spark.createDataFrame([("A", "2", "renamed", "total spend", "all spending")], "family string, edition string, change_kind string, old_field string, new_field string")
+    got = {r.id: (r.lines, r.texts) for r in drift.united(cells, moved, ["id"]).collect()}
+    assert got == {1: ({"urn": 1.0, "all spending": 5.0}, {"name": "Mill"}), 2: ({"urn": 2.0}, {}), 3: ({"urn": 3.0, "all spending": 7.0, "extra": 1.0}, {})}
