@@ -280,30 +280,31 @@ def association_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     sites, codes = now.where("site is not null").select("urn", "site").distinct(), now.where("pc is not null").select("urn", "pc").distinct()
     mails = ch.select("id", F.explode(F.array_compact(F.array("web", "mail"))).alias("site")).distinct()
-    direct = ch.select("id", "pc").join(codes, "pc").select("id", "urn").unionByName(mails.join(sites, "site").select("id", "urn")).distinct()
-    by_key = direct.join(known.select(F.col("id").alias("r"), F.col("target").alias("urn")), "urn").select(F.col("id").alias("l"), "r")
+    join = variants.large_join
+    direct = join(ch.select("id", "pc"), codes, "pc").select("id", "urn").unionByName(join(mails, sites, "site").select("id", "urn")).distinct()
+    by_key = join(direct, known.select(F.col("id").alias("r"), F.col("target").alias("urn")), "urn").select(F.col("id").alias("l"), "r")
     pairs = staged(by_name.unionByName(by_key).distinct(), "pairs")
 
     a = ch.select(F.col("id").alias("l"), "core", "kinds", "letters", "addr_core", "addr_kinds", "obj_core", "obj_kinds")
-    b = known.join(weights, "id", "left").select(
+    b = join(known, weights, "id", "left").select(
         F.col("id").alias("r"), F.col("core").alias("b_core"), F.col("kinds").alias("b_kinds"), F.col("phase").alias("b_phase"), F.col("name").alias("b_name"),
         F.coalesce("weights", F.expr("cast(array() as array<double>)")).alias("weights"), variants.place_words("place").alias("place"),
     )
-    scored = linkage.compare(pairs.join(a, "l").join(b, "r"))
-    scored = scored.join(known.select(F.col("id").alias("r"), F.col("target").alias("urn"), fold(F.col("place")).alias("town"), "la_name"), "r")
+    scored = linkage.compare(join(join(pairs, a, "l"), b, "r"))
+    scored = join(scored, known.select(F.col("id").alias("r"), F.col("target").alias("urn"), fold(F.col("place")).alias("town"), "la_name"), "r")
     part = lambda s, k: F.coalesce(F.col(s) + 0.12 * F.col(k), F.lit(0.0))
     total = F.greatest(part("name_score", "name_kind"), part("addr_score", "addr_kind"), part("obj_score", "obj_kind"))
     best = staged(scored.withColumn("total", total).groupBy("l", "urn").agg(
         *[F.max_by(F.struct(f"{t}_score", f"{t}_kind"), part(f"{t}_score", f"{t}_kind")).alias(t) for t in ("name", "addr", "obj")],
         F.max("initials").alias("initials"), F.max("total").alias("score"), F.first("town").alias("town"), F.first("la_name").alias("la_name"),
     ), "best")
-    facts = best.join(ch.select(F.col("id").alias("l"), "plural", "core", "letters", "pc", "outward", "web", "mail", "places"), "l")
+    facts = join(best, ch.select(F.col("id").alias("l"), "plural", "core", "letters", "pc", "outward", "web", "mail", "places"), "l")
     here = now.groupBy("urn").agg(F.collect_set("pc").alias("pcs"), F.collect_set("outward").alias("outs"), F.collect_set("site").alias("sites"))
-    facts = facts.join(here, "urn")
+    facts = join(facts, here, "urn")
     # A host is a school's if some school has it; others say nothing.
     own = sites.select("site").distinct()
-    facts = facts.join(own.select(F.col("site").alias("web"), F.lit(True).alias("web_known")), "web", "left")
-    facts = facts.join(own.select(F.col("site").alias("mail"), F.lit(True).alias("mail_known")), "mail", "left")
+    facts = join(facts, own.select(F.col("site").alias("web"), F.lit(True).alias("web_known")), "web", "left")
+    facts = join(facts, own.select(F.col("site").alias("mail"), F.lit(True).alias("mail_known")), "mail", "left")
     vote = lambda yes, no: F.when(yes, 1).when(no, -1).otherwise(0)
     text = lambda t: vote((F.col(f"{t}.{t}_score") >= 0.72) & (F.col(f"{t}.{t}_kind") > -0.5), (F.col(f"{t}.{t}_score") < 0.45) | (F.col(f"{t}.{t}_kind") <= -0.8))
     top = F.max("score").over(Window.partitionBy("l"))

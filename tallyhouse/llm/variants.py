@@ -57,12 +57,21 @@ def word_weights(named: DataFrame, ident: str = "id") -> DataFrame:
     df = named.select(F.explode(F.array_distinct("core")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("df"))
     n = F.lit(named.count())
     w = F.log1p(n / F.col("df")) * F.when(F.col("word").isin(*sorted(names.COMMON | names.TITLES)), F.lit(0.6)).otherwise(F.lit(1.0))
-    scored = one.join(df, "word").select(ident, "pos", w.alias("w"))
+    scored = large_join(one, df, "word").select(ident, "pos", w.alias("w"))
     return scored.groupBy(ident).agg(F.array_sort(F.collect_list(F.struct("pos", "w"))).alias("_w")).select(
         ident, F.transform("_w", lambda x: x["w"]).alias("weights")
     )
 
 
+def large_join(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inner") -> DataFrame:
+    """A join of two sides that both grow with the data.
+
+    A staged table is small on disk, and a few of its columns look smaller still, so its size is no proof that it may be
+    broadcast: the hint keeps it from being.
+    """
+    return a.join(b.hint("merge"), on, how)
+
+
 def _prefix(shared: Broadcast, threshold: float):  # noqa: ANN202
     def first(grams: pd.Series) -> pd.Series:
         out, counts = [], shared.value
@@ -95,10 +104,10 @@ def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFra
 
     a, b = side(left, "l"), side(right, "r")
     near = (F.col("r_n") >= F.col("l_n") * threshold) & (F.col("l_n") >= F.col("r_n") * threshold)
-    pairs = a.join(b, "key").where(near).select("l", "r").distinct()
+    pairs = large_join(a, b, "key").where(near).select("l", "r").distinct()
     la = left.select(F.col("id").alias("l"), F.col("grams").alias("lg")).dropDuplicates(["l"])
     rb = right.select(F.col("id").alias("r"), F.col("grams").alias("rg")).dropDuplicates(["r"])
-    both = pairs.join(la, "l").join(rb, "r")
+    both = large_join(large_join(pairs, la, "l"), rb, "r")
     common = F.size(F.array_intersect("lg", "rg"))
     return both.where(common >= (F.size("lg") + F.size("rg") - common) * threshold).select("l", "r")
 
@@ -142,12 +151,12 @@ def link_variants(
     k = known.where(F.col("target").isNotNull() & F.col("name").isNotNull()).select("target", "name", "phase", "place", "blocks").distinct()
     k = k.withColumn("id", F.xxhash64("target", "name", "phase", "place", "blocks")).withColumn("p", parsed("name"))
     k = staged(k.select("id", "target", "phase", "place", "blocks", "p.*").where(F.size("core") > 0), "known")
-    k = staged(k.join(word_weights(k), "id"), "weighed")
+    k = staged(large_join(k, word_weights(k), "id"), "weighed")
     t = typed.where(F.col("name").isNotNull()).withColumn("key", F.xxhash64(F.lower(F.trim("name")), "phase", "blocks"))
     one = t.groupBy("key").agg(F.first("name").alias("name"), F.first("phase").alias("phase"), F.first("blocks").alias("blocks"))
     block_place = k.where("place is not null").select(F.explode("blocks").alias("block"), "place").groupBy("block").agg(F.mode("place", True).alias("place"))
     places = one.select("key", F.explode("blocks").alias("block")).join(block_place, "block").groupBy("key").agg(F.max("place").alias("place"))
-    one = staged(one.join(places, "key", "left").withColumn("p", parsed_at("name", "place")).select(F.col("key").alias("id"), "phase", "blocks", "p.*").where(F.size("core") > 0), "typed")
+    one = staged(large_join(one, places, "key", "left").withColumn("p", parsed_at("name", "place")).select(F.col("key").alias("id"), "phase", "blocks", "p.*").where(F.size("core") > 0), "typed")
     flat = lambda d: d.select("id", F.explode("blocks").alias("block"), "grams")
     pairs = staged(similar_sets(flat(one), flat(k), threshold), "pairs")
     a = one.select(F.col("id").alias("l"), F.col("core").alias("a_core"), F.col("kinds").alias("a_kinds"), F.col("phase").alias("a_phase"))
@@ -155,16 +164,16 @@ def link_variants(
         F.col("id").alias("r"), "target", F.col("core").alias("b_core"), F.col("kinds").alias("b_kinds"), F.col("phase").alias("b_phase"),
         "weights", place_words("place").alias("place"),
     )
-    scored = verify(pairs.join(a, "l").join(b.drop("target"), "r"))
+    scored = verify(large_join(large_join(pairs, a, "l"), b.drop("target"), "r"))
     total = F.col("core_score") + 0.12 * F.col("kind_score")
-    by_target = scored.join(b.select("r", "target"), "r").groupBy("l", "target").agg(F.max(total).alias("score"))
+    by_target = large_join(scored, b.select("r", "target"), "r").groupBy("l", "target").agg(F.max(total).alias("score"))
     best = _two_best(by_target)
     sure = (F.col("score") >= accept) & (F.coalesce(F.col("second"), F.lit(0.0)) <= F.col("score") - margin)
-    return t.select("id", "key").join(best.where(sure).withColumnRenamed("l", "key"), "key").select("id", "target", "score", "second")
+    return large_join(t.select("id", "key"), best.where(sure).withColumnRenamed("l", "key"), "key").select("id", "target", "score", "second")
 
 
 def _two_best(by_target: DataFrame) -> DataFrame:
     """(l, target, score, second) of scored targets; equal scores are ordered by the target."""
     top = by_target.groupBy("l").agg(F.max(F.struct("score", "target")).alias("b"))
-    rest = by_target.join(top, "l").where(F.col("target") != F.col("b.target")).groupBy("l").agg(F.max("score").alias("second"))
-    return top.join(rest, "l", "left").select("l", "b.target", "b.score", "second")
+    rest = large_join(by_target, top, "l").where(F.col("target") != F.col("b.target")).groupBy("l").agg(F.max("score").alias("second"))
+    return large_join(top, rest, "l", "left").select("l", "b.target", "b.score", "second")
