@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import io
 import tempfile
 import uuid
 import zipfile
@@ -64,9 +65,15 @@ def ship(spark: SparkSession) -> None:
     if app in _SHIPPED:
         return
     root = Path(__file__).resolve().parent
-    zipped = Path(tempfile.mkdtemp(prefix="tallyhouse-code-")) / "tallyhouse.zip"
-    with zipfile.ZipFile(zipped, "w") as z:
+    held = io.BytesIO()
+    with zipfile.ZipFile(held, "w") as z:
         for p in sorted(root.rglob("*.py")):
             z.write(p, p.relative_to(root.parent))
-    spark.sparkContext.addPyFile(str(zipped))
+    path = f"{shared_dir(spark)}/tallyhouse-{uuid.uuid4().hex}/tallyhouse.zip"
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    out = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).create(where)
+    out.write(bytearray(held.getvalue()))
+    out.close()
+    spark.sparkContext.addPyFile(path)
     _SHIPPED.add(app)
