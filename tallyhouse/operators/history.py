@@ -2,8 +2,8 @@
 
 Keys fall into leaf buckets, ``fanout`` leaves into a branch, and so on up to one root.  Every node has a digest for every
 snapshot.  Only below nodes whose digest differs from that of the snapshot before are the children compared; the rows of
-the leaves that still differ are diffed and their new versions kept.  All rows cross one shuffle, as fixed-width columns
-partitioned by branch, and are written resolved, whole branches to a file; after that only digests and the rows of changed
+the leaves that still differ are diffed and their new versions kept.  Rows are resolved by an aggregation that combines before
+it shuffles, and written as fixed-width columns, whole branches to a file; after that only digests and the rows of changed
 leaves move.
 """
 
@@ -87,21 +87,16 @@ def attribute_history(
     n_rows = snapshots.count()
     leaves, levels = _tree_shape(n_rows, rows_per_leaf, fanout)
 
-    rows = (
-        src.select(
-            "_key",
-            "_at",
-            "_loaded",
-            fingerprint([F.col(n) for n in names]).alias("_fp"),
-            F.pmod(F.xxhash64("_key"), F.lit(leaves)).cast("int").alias("_leaf"),
-        )
-        .withColumn("_branch", (F.col("_leaf") / fanout).cast("int"))
-        .repartition("_branch")
-    )
-    by_key = Window.partitionBy("_branch", "_leaf", "_key")
-    last = F.lead("_at").over(by_key.orderBy("_at", F.col("_loaded").asc_nulls_first(), "_fp"))
-    rows = rows.withColumn("_next", last).where(F.col("_next").isNull() | (F.col("_next") != F.col("_at")))
+    # The order of loads as one fixed-width number, the fingerprint its last 64 bits: resolving is a hash aggregation that
+    # combines before it shuffles, so a key sent again and again costs no task more than one row a snapshot.
+    load = F.coalesce(F.col("_loaded"), F.lit(-(10**17))).cast("decimal(18,0)") * F.lit("18446744073709551616").cast("decimal(20,0)")
+    rank = load + F.col("_fp").cast("decimal(20,0)")
+    rows = src.select("_key", "_at", "_loaded", fingerprint([F.col(n) for n in names]).alias("_fp"))
+    rows = rows.groupBy("_key", "_at").agg(F.max_by("_fp", rank).alias("_fp"))
+    rows = rows.withColumn("_leaf", F.pmod(F.xxhash64("_key"), F.lit(leaves)).cast("int"))
+    rows = rows.withColumn("_branch", (F.col("_leaf") / fanout).cast("int")).repartition("_branch")
     rows = staged(rows.select("_key", "_at", "_fp", "_leaf", "_branch"), "resolved")
+    by_key = Window.partitionBy("_branch", "_leaf", "_key")
 
     cell = F.xxhash64("_key", "_fp"), F.xxhash64(F.lit(1), "_fp", "_key")
     digests = [F.bit_xor(cell[0]).alias("_d1"), F.bit_xor(cell[1]).alias("_d2"), F.count(F.lit(1)).alias("_n")]
