@@ -446,8 +446,9 @@ def united(cell_rows: DataFrame, changes: DataFrame, keys: list[str]) -> DataFra
     """One row per ``keys`` (with family and edition) under the last name of every quantity: ``lines``, the figures by name,
     and ``texts``, what isn't a figure.
 
-    A name whose usual kind is number in any edition is cast to number everywhere; its cells that hold no figure are codes
-    and left out.  The names, as many as there are columns in all files, are read to the driver to follow the renames.
+    A name whose usual kind is number in any edition is cast to number everywhere; its cells that hold no figure stay texts.
+    Only codes of suppression are left out.  The names, as many as there are columns in all files, are read to the driver to
+    follow the renames.
     """
     from tallyhouse.session import staged
 
@@ -460,8 +461,9 @@ def united(cell_rows: DataFrame, changes: DataFrame, keys: list[str]) -> DataFra
     rows = [(f, e, h, n, (f, n) in figures) for (f, e, h), n in names.items()]
     dim = spark.createDataFrame(rows, "family string, edition string, header string, name string, figure boolean")
     named = cell_rows.where("text is not null").join(F.broadcast(dim), ["family", "edition", "header"])
-    figure = F.when(F.col("figure") & F.col("num").isNotNull(), F.struct("name", "num"))
-    text = F.when(~F.col("figure"), F.struct("name", "text"))
+    castable = F.col("figure") & F.col("num").isNotNull()
+    figure = F.when(castable, F.struct("name", "num"))
+    text = F.when(~castable, F.struct("name", "text"))
     # Two headers of one edition can't share a name, so each name comes once in a row.
     return named.groupBy(*keys, "family", "edition").agg(
         F.map_from_entries(F.collect_list(figure)).alias("lines"), F.map_from_entries(F.collect_list(text)).alias("texts")

@@ -50,3 +50,16 @@ def test_united(spark):
     moved = spark.createDataFrame([("A", "2", "renamed", "total spend", "all spending")], "family string, edition string, change_kind string, old_field string, new_field string")
     got = {r.id: (r.lines, r.texts) for r in drift.united(cells, moved, ["id"]).collect()}
     assert got == {1: ({"urn": 1.0, "all spending": 5.0}, {"name": "Mill"}), 2: ({"urn": 2.0}, {}), 3: ({"urn": 3.0, "all spending": 7.0, "extra": 1.0}, {})}
+
+
+def test_united_keeps_texts_of_a_column_that_becomes_a_number(spark):
+    rows = [("A", "1", 1, '{"laestab": "262/1024"}'), ("A", "1", 2, '{"laestab": "7"}'), ("A", "2", 3, '{"laestab": 2621024}'), ("A", "2", 4, '{"laestab": 5}'), ("A", "2", 8, '{"laestab": 6}'),
+            ("A", "2", 5, '{"laestab": "see note"}'), ("A", "2", 6, '{"laestab": true}'), ("A", "2", 7, '{"laestab": "x", "k": 1}')]
+    raw = spark.createDataFrame(rows, "family string, edition string, id int, payload string")
+    cells = drift.cells(raw, "payload", {"family": F.col("family"), "edition": F.col("edition"), "id": F.col("id")})
+    moved = spark.createDataFrame([], "family string, edition string, change_kind string, old_field string, new_field string")
+    got = {r.id: (r.lines, r.texts) for r in drift.united(cells, moved, ["id"]).collect()}
+    assert got == {
+        1: ({}, {"laestab": "262/1024"}), 2: ({"laestab": 7.0}, {}), 3: ({"laestab": 2621024.0}, {}), 4: ({"laestab": 5.0}, {}), 8: ({"laestab": 6.0}, {}),
+        5: ({}, {"laestab": "see note"}), 6: ({}, {"laestab": "true"}), 7: ({"k": 1.0}, {}),
+    }
