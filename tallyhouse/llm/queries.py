@@ -219,7 +219,7 @@ def host(c: Column) -> Column:
 
 
 def association_links(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(charity_number, urn, confidence, score, plural, key): candidate pairs of associations and open schools.
+    """(charity_number, urn, confidence, score, plural, joined, has, votes): candidate pairs of associations and open schools.
 
     Candidates share a postcode, a host, or enough letter q-grams of a name in the same place.
     """
@@ -245,7 +245,7 @@ def association_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     ch = one.withColumn("n", linkage.charity_name("charity_name")).where("n.named is not null").select(
         F.col("charity_number").alias("id"), "n.*", postcode(F.col("charity_contact_postcode")).alias("pc"),
         host(F.col("charity_contact_web")).alias("web"), host(F.col("charity_contact_email")).alias("mail"),
-        variants.parsed(addr).alias("a"), variants.parsed(obj_name).alias("o"),
+        variants.parsed(addr).alias("a"), variants.parsed(obj_name).alias("o"), linkage.partners(obj_name).alias("two"),
         F.array_compact(F.array(
             fold(F.col("charity_contact_address2")), fold(F.col("charity_contact_address3")), fold(F.col("area_of_benefit")),
             fold(F.element_at(F.split(obj, ","), -1)), fold(F.when(F.col("charity_name").contains(","), F.element_at(F.split("charity_name", ","), -1))),
@@ -260,7 +260,7 @@ def association_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     # An association that tells no place is compared with the names of all places.
     ch = ch.withColumn("blocks", F.when(F.size("blocks") == 0, F.array(F.lit("all"))).otherwise(F.col("blocks")))
     ch = staged(ch.select(
-        "id", "named", "core", "kinds", "plural", "letters", "pc", "outward", "web", "mail", "places", "blocks",
+        "id", "named", "core", "kinds", (F.col("plural") | F.col("two.plural")).alias("plural"), F.array_union("joined", "two.joined").alias("joined"), "letters", "pc", "outward", "web", "mail", "places", "blocks",
         F.col("a.core").alias("addr_core"), F.col("a.kinds").alias("addr_kinds"), F.col("a.grams").alias("addr_grams"),
         F.col("o.core").alias("obj_core"), F.col("o.kinds").alias("obj_kinds"), F.col("o.grams").alias("obj_grams"),
         variants.grams_of("core").alias("name_grams"),
@@ -291,14 +291,14 @@ def association_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.coalesce("weights", F.expr("cast(array() as array<double>)")).alias("weights"), variants.place_words("place").alias("place"),
     )
     scored = linkage.compare(join(join(pairs, a, "l"), b, "r"))
-    scored = join(scored, known.select(F.col("id").alias("r"), F.col("target").alias("urn"), fold(F.col("place")).alias("town"), "la_name"), "r")
+    scored = join(scored, known.select(F.col("id").alias("r"), F.col("target").alias("urn"), fold(F.col("place")).alias("town"), "la_name", F.col("kinds").alias("has")), "r")
     part = lambda s, k: F.coalesce(F.col(s) + 0.12 * F.col(k), F.lit(0.0))
     total = F.greatest(part("name_score", "name_kind"), part("addr_score", "addr_kind"), part("obj_score", "obj_kind"))
     best = staged(scored.withColumn("total", total).groupBy("l", "urn").agg(
         *[F.max_by(F.struct(f"{t}_score", f"{t}_kind"), part(f"{t}_score", f"{t}_kind")).alias(t) for t in ("name", "addr", "obj")],
-        F.max("initials").alias("initials"), F.max("total").alias("score"), F.first("town").alias("town"), F.first("la_name").alias("la_name"),
+        F.max("initials").alias("initials"), F.max("total").alias("score"), F.max_by("has", "total").alias("has"), F.first("town").alias("town"), F.first("la_name").alias("la_name"),
     ), "best")
-    facts = join(best, ch.select(F.col("id").alias("l"), "plural", "core", "letters", "pc", "outward", "web", "mail", "places"), "l")
+    facts = join(best, ch.select(F.col("id").alias("l"), "plural", "joined", "core", "letters", "pc", "outward", "web", "mail", "places"), "l")
     here = now.groupBy("urn").agg(F.collect_set("pc").alias("pcs"), F.collect_set("outward").alias("outs"), F.collect_set("site").alias("sites"))
     facts = join(facts, here, "urn")
     # A host is a school's if some school has it; others say nothing.
@@ -310,7 +310,7 @@ def association_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     top = F.max("score").over(Window.partitionBy("l"))
     place = F.array_contains("places", F.col("town")) | F.array_contains("places", F.col("la_name"))
     voted = facts.select(
-        F.col("l").alias("charity_number"), "urn", "score", "plural",
+        F.col("l").alias("charity_number"), "urn", "score", "plural", "joined", "has",
         F.when(F.col("letters") != "", F.when(F.col("initials"), 1).otherwise(-1)).otherwise(text("name")).alias("v_name"),
         vote(F.greatest("name.name_kind", "obj.obj_kind") >= 0.5, F.least("name.name_kind", "obj.obj_kind") <= -0.5).alias("v_kind"),
         text("addr").alias("v_addr"), text("obj").alias("v_obj"),
@@ -330,12 +330,15 @@ def p2_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     # The best school of each association; an association of schools may have a second one, as good but for its kind.
     evidence = sum((F.col(v) for v in VOTES), F.lit(0))
     w = Window.partitionBy("charity_number").orderBy(F.col("confidence").desc(), F.col("score").desc(), evidence.desc(), "urn")
-    ranked = pairs.withColumn("place", F.row_number().over(w)).withColumn("top", F.first("score").over(w))
+    ranked = pairs.withColumn("place", F.row_number().over(w)).withColumn("top", F.first("score").over(w)).withColumn("had", F.first("has").over(w))
     # A name that says otherwise must be outweighed by another text or address of the association, not by its place alone.
     backed = (F.col("v_name") >= 0) | (F.greatest("v_addr", "v_obj", "v_web", "v_mail") == 1)
     first = (F.col("place") == 1) & (F.col("confidence") >= 0.5)
-    alike = (F.col("confidence") >= 0.5) | ((F.col("v_name") == 1) & (F.col("v_pc") >= 0) & (F.col("v_place") >= 0))
-    second = (F.col("place") == 2) & F.col("plural") & alike & (F.col("score") >= F.col("top") - 0.4)
+    named = (F.col("v_name") >= 0) & (F.greatest("v_name", "v_obj") == 1)
+    alike = (F.col("confidence") >= 0.5) | (named & (F.col("v_pc") >= 0) & (F.col("v_place") >= 0))
+    # Kinds that the association joins mean two schools where the second is of a kind that the first is not.
+    other = F.size(F.array_except(F.array_intersect("joined", "has"), "had")) > 0
+    second = (F.col("place") == 2) & (F.col("plural") | other) & alike & (F.col("score") >= F.col("top") - 0.4)
     return ranked.where(backed & (first | second)).select("urn", "charity_number", "confidence")
 
 
