@@ -310,6 +310,18 @@ def q_nulls_last_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.orderBy(F.col("town").asc_nulls_last(), "urn").limit(50).select("urn")
 
 
+@C.query(
+    "q_nulls_last_places",
+    """WITH s AS (SELECT urn, min(town) AS town FROM establishment GROUP BY urn)
+SELECT urn, town, row_number() OVER (ORDER BY town ASC NULLS LAST, urn) - 1 AS place_up, row_number() OVER (ORDER BY town DESC NULLS LAST, urn) - 1 AS place_down FROM s""",
+)
+def q_nulls_last_places(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every school with its place in the order by town, upwards and downwards, those without a town last in both."""
+    s = table(spark, sf_dir, "establishment").groupBy("urn").agg(F.min("town").alias("town"))
+    up = order.with_rank(s, [F.col("town").asc_nulls_last(), F.col("urn")], "place_up")
+    return order.with_rank(up, [F.col("town").desc_nulls_last(), F.col("urn")], "place_down").select("urn", "town", "place_up", "place_down")
+
+
 @C.query(
     "q_round_robin",
     """WITH r AS (SELECT phase, urn, row_number() OVER (PARTITION BY phase ORDER BY urn) AS turn FROM (SELECT DISTINCT urn, phase FROM establishment))

@@ -29,3 +29,20 @@ def test_same_as_sql(spark, name):
     clean = lambda rows: sorted((tuple(round(v, 6) if isinstance(v, float) else v for v in r) for r in rows), key=str)
     want = con.execute(f"SELECT {', '.join(cols)} FROM ({E.oracle_sql()[name]})").fetchall()
     assert clean(df.select(*cols).collect()) == clean(want)
+
+
+def test_nulls_last_in_both_directions(spark):
+    rows = E.queries()["q_nulls_last_places"](spark, SMALL).collect()
+    schools = spark.read.parquet(f"{SMALL}/establishment.parquet").where("urn is not null").groupBy("urn").agg({"town": "min"}).collect()
+    towns = {urn: town for urn, town in schools}
+    assert None in towns.values()
+    empty = sorted(u for u, t in towns.items() if t is None)
+    known = sorted((t, u) for u, t in towns.items() if t is not None)
+    assert [r.urn for r in sorted(rows, key=lambda r: r.place_up)] == [u for _, u in known] + empty
+    down = sorted(known, key=lambda x: x[0], reverse=True)  # stable: equal towns stay in the order of urn
+    assert [r.urn for r in sorted(rows, key=lambda r: r.place_down)] == [u for _, u in down] + empty
+    assert {r.place_up for r in rows} == {r.place_down for r in rows} == set(range(len(towns)))
+
+
+def test_nulls_last_same_as_sql(spark):
+    test_same_as_sql(spark, "q_nulls_last_places")
