@@ -448,11 +448,12 @@ def united(cell_rows: DataFrame, changes: DataFrame, keys: list[str]) -> DataFra
 
     A name whose usual kind is number in any edition is cast to number everywhere; its cells that hold no figure stay texts.
     Only codes of suppression are left out.  The names, as many as there are columns in all files, are read to the driver to
-    follow the renames.
+    follow the renames.  Cells without family or edition are left out.
     """
     from tallyhouse.session import staged
 
     spark = cell_rows.sparkSession
+    cell_rows = cell_rows.where("family is not null and edition is not null")
     prof = staged(profiles(cell_rows, ["family", "edition"]).withColumn("usual", usual_kind()), "columns")
     cols = prof.select("family", "edition", "header", (F.col("n_num") * 2 > F.col("n_number") + F.col("n_text") + F.col("n_boolean")).alias("figure")).collect()
     moved = changes.where("change_kind = 'renamed'").select("family", "edition", "old_field", "new_field").collect()

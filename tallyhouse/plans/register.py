@@ -10,6 +10,7 @@ from tallyhouse.operators import drift
 from tallyhouse.operators.history import attribute_history
 from tallyhouse.operators.near import near_members
 from tallyhouse.plans.catalogue import Catalogue, table
+from tallyhouse.session import staged
 
 C = Catalogue()
 
@@ -114,13 +115,17 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("urn_a"), F.col("id_b").alias("urn_b"))
 
 
+def return_keys() -> dict[str, Column]:
+    """family (the source) and edition (the book's year) of a return."""
+    return {"family": F.upper(F.trim("source")), "edition": F.nullif(F.regexp_extract("file_name", r"(\d{4}-\d{2})", 1), F.lit(""))}
+
+
 def return_cells(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> DataFrame:
     """The cells of all workbooks: family (the source), edition (the book's year), entity (the URN), header, kind, text, num."""
     raw = table(spark, sf_dir, "finance_return_raw") if raw is None else raw
     by = {
         **({"record_id": F.col("record_id")} if "record_id" in raw.columns else {}),
-        "family": F.upper(F.trim("source")),
-        "edition": F.nullif(F.regexp_extract("file_name", r"(\d{4}-\d{2})", 1), F.lit("")),
+        **return_keys(),
         "entity": F.get_json_object("payload", "$.URN"),
     }
     return drift.cells(raw, "payload", by)
@@ -138,11 +143,25 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One table of all returns: figures and texts of each record under the last name of every column.
 
-    Of a record that comes twice the one read last counts.
+    Of a record that comes twice the one read last counts, among those with a readable payload if there are any.  Records
+    without cells to show have a row with empty ``lines`` and ``texts``; ``rejected`` says why nothing could be read:
+    payload (null, cut off or no object) or file (no source or year).
     """
     raw = table(spark, sf_dir, "finance_return_raw").where("record_id is not null")
-    last = raw.groupBy("record_id").agg(F.max_by(F.struct("file_name", "source", "payload"), F.struct("read_at", "file_name", "payload")).alias("r"))
-    cells = return_cells(spark, sf_dir, last.select("record_id", "r.*"))
+    raw = raw.withColumn("readable", F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT"), F.lit(False)))
+    last = raw.groupBy("record_id").agg(
+        F.max_by(F.struct("file_name", "source", "payload", "readable"), F.struct("readable", "read_at", "file_name", "payload")).alias("r")
+    )
+    last = staged(last.select("record_id", "r.*"), "last")
+    cells = return_cells(spark, sf_dir, last)
     changes = drift.schema_changes(return_cells(spark, sf_dir, table(spark, sf_dir, "finance_return_raw").drop("record_id")))
-    rows = drift.united(cells, changes, ["record_id"])
-    return rows.select("record_id", F.col("family").alias("source"), F.col("edition").alias("book_year"), "lines", "texts")
+    rows = drift.united(cells, changes, ["record_id"]).select("record_id", "lines", "texts")
+    of = return_keys()
+    every = last.select("record_id", of["family"].alias("source"), of["edition"].alias("book_year"), "readable").join(rows, "record_id", "left")
+    nothing = F.when(~F.col("readable"), "payload").when(F.col("source").isNull() | F.col("book_year").isNull(), "file")
+    return every.select(
+        "record_id", "source", "book_year",
+        F.coalesce("lines", F.expr("cast(map() as map<string, double>)")).alias("lines"),
+        F.coalesce("texts", F.expr("cast(map() as map<string, string>)")).alias("texts"),
+        nothing.alias("rejected"),
+    )

@@ -4,6 +4,7 @@ import random
 from pyspark.sql import functions as F
 
 from tallyhouse.operators import drift
+from tallyhouse.plans import register
 
 
 def changes(spark, books):
@@ -63,3 +64,20 @@ def test_united_keeps_texts_of_a_column_that_becomes_a_number(spark):
         1: ({}, {"laestab": "262/1024"}), 2: ({"laestab": 7.0}, {}), 3: ({"laestab": 2621024.0}, {}), 4: ({"laestab": 5.0}, {}), 8: ({"laestab": 6.0}, {}),
         5: ({}, {"laestab": "see note"}), 6: ({}, {"laestab": "true"}), 7: ({"k": 1.0}, {}),
     }
+
+
+def test_returns_keep_records_with_a_payload_that_is_cut_off(spark, tmp_path):
+    rows = [
+        (1, "CFR_2018-19.xlsx", "CFR", "2020-01-01", '{"URN": 1, "pay": 5}'), (1, "CFR_2018-19.xlsx", "CFR", "2020-02-01", '{"URN": 1, "pay"'),
+        (2, "CFR_2018-19.xlsx", "cfr ", "2020-01-01", '{"URN": 2, "pa'), (3, "CFR_2018-19.xlsx", "CFR", "2020-01-01", '{"URN": 3, "pay": 6}'),
+        (3, "CFR_2018-19.xlsx", "CFR", "2020-02-01", '{"URN": 3, "pay": 7}'), (4, "CFR_2018-19.xlsx", "CFR", "2020-01-01", '{"pay": "supp"}'),
+        (5, "CFR_2018-19.xlsx", "CFR", "2020-01-01", None), (6, "CFR.xlsx", "CFR", "2020-01-01", '{"pay": 8}'),
+    ]
+    raw = spark.createDataFrame(rows, "record_id long, file_name string, source string, read_at string, payload string")
+    raw.withColumn("read_at", F.to_timestamp("read_at")).write.parquet(str(tmp_path / "finance_return_raw.parquet"))
+    got = {r.record_id: (r.source, r.book_year, r.lines, r.texts, getattr(r, "rejected", None)) for r in register.p6_returns(spark, str(tmp_path)).collect()}
+    at = ("CFR", "2018-19")
+    assert got == {
+        1: (*at, {"urn": 1.0, "pay": 5.0}, {}, None), 2: (*at, {}, {}, "payload"), 3: (*at, {"urn": 3.0, "pay": 7.0}, {}, None), 4: (*at, {}, {}, None),
+        5: (*at, {}, {}, "payload"), 6: ("CFR", None, {}, {}, "file"),
+    }
