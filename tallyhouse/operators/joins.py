@@ -178,15 +178,23 @@ def inside_ring(x: Column, y: Column, ring: Column) -> Column:
     return (hits % 2) == 1
 
 
+def inside_rings(x: Column, y: Column, rings: Column) -> Column:
+    """Even-odd test against all rings of a polygon or of several apart from each other: a point in a hole is outside."""
+    return F.aggregate(rings, F.lit(False), lambda acc, r: acc != F.coalesce(inside_ring(x, y, r), F.lit(False)))
+
+
 def points_in_polygons(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
-    """(id, pid) for points (id, x, y) and polygons (pid, ring): a polygon is laid on the grid cells of its box, a point
-    meets the polygons of its cell, and the even-odd test decides."""
-    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
-    boxed = polygons.select("pid", "ring", *[f(a).alias(n) for n, f, a in (("x0", F.array_min, xs), ("x1", F.array_max, xs), ("y0", F.array_min, ys), ("y1", F.array_max, ys))])
+    """(id, pid) for points (id, x, y) and polygons (pid, ring), or (pid, rings) as ``features`` gives them, with holes: a polygon is
+    laid on the grid cells of its box, a point meets the polygons of its cell, and the even-odd test decides."""
+    shape = "rings" if "rings" in polygons.columns else "ring"
+    corners = F.flatten("rings") if shape == "rings" else F.col("ring")
+    xs, ys = F.transform(corners, lambda p: p["x"]), F.transform(corners, lambda p: p["y"])
+    boxed = polygons.select("pid", shape, *[f(a).alias(n) for n, f, a in (("x0", F.array_min, xs), ("x1", F.array_max, xs), ("y0", F.array_min, ys), ("y1", F.array_max, ys))])
     g = lambda c: F.floor(F.col(c) / cell).cast("long")
     boxed = boxed.withColumn("_cx", F.explode(F.sequence(g("x0"), g("x1")))).withColumn("_cy", F.explode(F.sequence(g("y0"), g("y1"))))
     p = points.withColumn("_cx", g("x")).withColumn("_cy", g("y"))
-    return p.join(boxed, ["_cx", "_cy"]).where(inside_ring(F.col("x"), F.col("y"), F.col("ring"))).select("id", "pid")
+    test = inside_rings if shape == "rings" else inside_ring
+    return p.join(boxed, ["_cx", "_cy"]).where(test(F.col("x"), F.col("y"), F.col(shape))).select("id", "pid")
 
 
 def ring_centroid(ring: Column) -> Column:

@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from tallyhouse.operators import rules, spatial, timelines
+from tallyhouse.operators import joins, rules, spatial, timelines
 
 
 def metres(a, b):
@@ -66,3 +66,12 @@ def test_timelines(spark):
     assert [(r.until, r.current) for r in w] == [(2, False), (3, True), (None, False)]
     span = timelines.trusted_span(df, ["k"], "y", "b", F.col("y") == 1).first()
     assert (span.first_year, span.last_year, span.change) == (3, 3, 0.0)
+
+
+def test_points_in_polygons_with_holes(spark):
+    square = lambda x, y, r: [(x + dx * r, y + dy * r) for dx, dy in ((-1, -1), (1, -1), (1, 1), (-1, 1), (-1, -1))]
+    shapes = [("holed", [square(0.0, 0.0, 3.0), square(0.0, 0.0, 1.0)]), ("parts", [square(0.0, 0.0, 0.5), square(8.0, 8.0, 1.0)]), ("none", None)]
+    polygons = spark.createDataFrame(shapes, "pid string, rings array<array<struct<x: double, y: double>>>")
+    points = spark.createDataFrame([(1, 0.1, 0.2), (2, 2.1, 0.3), (3, 8.2, 7.9), (4, 5.0, 5.0), (5, 0.7, 0.6)], "id int, x double, y double")
+    got = {tuple(r) for r in joins.points_in_polygons(points, polygons, 0.8).collect()}
+    assert got == {(1, "parts"), (2, "holed"), (3, "parts")}
