@@ -1,17 +1,21 @@
 """Full history of changing entity attributes from periodic snapshots, by Merkle comparison.
 
-Keys fall into leaf buckets, ``fanout`` leaves into a branch, and so on up to one root.  Every node has a digest for every
-snapshot.  Only below nodes whose digest differs from that of the snapshot before are the children compared; the rows of
-the leaves that still differ are diffed and their new versions kept.  Rows are resolved by an aggregation that combines before
-it shuffles, and written as fixed-width columns, whole branches to a file; after that only digests and the rows of changed
-leaves move.
+The hash of a key places it in a radix tree: the first bits name a node, each further ``bits`` one of its children, and the
+leaves are as deep as the rows need.  For every snapshot a node is one row that holds the digests of its children, so a tree
+level is 1 / 2 ** bits of the level below.  The comparison starts at the root: the children's digests of a node are compared
+with those of the snapshot before, and only children that differ are opened.  In the end only the rows of leaves that still
+differ are read, diffed, and their new versions kept.
+
+Rows are resolved by an aggregation that combines before it shuffles, and written as fixed-width columns, neighbouring leaves
+to one file; after that only digests and the rows of changed leaves move.  The table itself is read once, the resolved rows
+twice (digests, changed leaves).
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from tallyhouse.session import staged
@@ -25,33 +29,71 @@ def fingerprint(state: Sequence[Column]) -> Column:
     return F.xxhash64(*parts)
 
 
-def _tree_shape(n_rows: int, rows_per_leaf: int, fanout: int) -> tuple[int, int]:
-    """Number of leaves and of levels above them."""
-    leaves = max(fanout, -(-n_rows // max(1, rows_per_leaf)))
-    levels, width = 1, fanout
-    while width < leaves:
-        levels, width = levels + 1, width * fanout
-    return leaves, levels
+def _depth(n_rows: int, rows_per_leaf: int, bits: int) -> int:
+    """Levels below the root, so that a leaf holds about ``rows_per_leaf`` rows of all snapshots; 1 to 60 // bits."""
+    depth, leaves = 1, 1 << bits
+    while leaves * max(1, rows_per_leaf) < n_rows and (depth + 1) * bits <= 60:
+        depth, leaves = depth + 1, leaves << bits
+    return depth
 
 
-def _differing(nodes: DataFrame, keys: list[str]) -> DataFrame:
-    """Nodes whose digest differs from that of their own snapshot before (or that have none before)."""
-    w = Window.partitionBy(*keys).orderBy("_at")
-    before = F.lag(F.struct("_d1", "_d2", "_n")).over(w)
-    return (
-        nodes.withColumn("_before", before)
-        .where(F.col("_before").isNull() | ~F.struct("_d1", "_d2", "_n").eqNullSafe(F.col("_before")))
-        .drop("_before")
-    )
+def _node(h: Column, level: int, bits: int) -> Column:
+    """The node of a level that a hash lies under: its first ``level * bits`` bits."""
+    return F.shiftrightunsigned(h, 64 - level * bits)
+
+
+def _digest(parts: Column) -> list[Column]:
+    """Two independent 64-bit digests of a set of hashed parts; the order of the parts plays no role."""
+    return [F.bit_xor(F.xxhash64(F.lit(i), parts)).alias(f"d{i}") for i in (1, 2)]
 
 
-def _folded(child: str) -> list[Column]:
-    """The digest of a node from those of its children, named by the column ``child``."""
-    return [
-        F.bit_xor(F.xxhash64(F.col(child), F.col("_d1"))).alias("_d1"),
-        F.bit_xor(F.xxhash64(F.col(child), F.col("_d2"))).alias("_d2"),
-        F.sum("_n").alias("_n"),
-    ]
+def _folded(kids: str, seed: int) -> Column:
+    """The digest of a node from those of its children."""
+    one = lambda k: F.xxhash64(F.lit(seed), k["kid"], k["d1"], k["d2"], k["n"])
+    return F.aggregate(kids, F.lit(0).cast("long"), lambda acc, k: acc.bitwiseXOR(one(k)))
+
+
+def merkle_levels(rows: DataFrame, depth: int, bits: int) -> list[DataFrame]:
+    """The inner levels of the tree, root first: (_node, _at, kids: array of (kid, d1, d2, n)), each written once.
+
+    ``rows``: _h (hash of the key), _key, _at, _fp (fingerprint of the state).
+    """
+    kid = F.struct(F.col("_kid").alias("kid"), "d1", "d2", "n")
+    below = rows.groupBy(_node(F.col("_h"), depth, bits).alias("_kid"), "_at").agg(
+        *_digest(F.struct("_key", "_fp")), F.count(F.lit(1)).alias("n")
+    )
+    out: list[DataFrame] = []
+    for level in range(depth - 1, -1, -1):
+        parent = F.shiftrightunsigned("_kid", bits) if level else F.lit(0).cast("long")
+        # At most 2 ** bits children: the array is bounded.
+        nodes = below.groupBy(parent.alias("_node"), "_at").agg(F.array_sort(F.collect_list(kid)).alias("kids"))
+        nodes = staged(nodes, f"level-{level}")
+        out.insert(0, nodes)
+        below = nodes.select(
+            F.col("_node").alias("_kid"), "_at", _folded("kids", 1).alias("d1"), _folded("kids", 2).alias("d2"),
+            F.aggregate("kids", F.lit(0).cast("long"), lambda acc, k: acc + k["n"]).alias("n"),
+        )
+    return out
+
+
+def changed_leaves(levels: list[DataFrame], compared: list[int] | None = None) -> DataFrame:
+    """(_node, _at): leaves that differ from the snapshot before, found from the root down.
+
+    A node is opened only if its parent's row of children says that it differs; what its children were is looked up in the
+    node's row of the snapshot before.  ``compared``, if given, receives the number of nodes compared at each level.
+    """
+    # One root row a snapshot: their order is known from a window over as many rows as there are snapshots.
+    when = levels[0].select("_node", "_at", F.lag("_at").over(Window.orderBy("_at")).alias("_was"))
+    changed = when
+    for nodes in levels:
+        now = changed.join(nodes, ["_node", "_at"])
+        was = nodes.select("_node", F.col("_at").alias("_was"), F.col("kids").alias("_old"))
+        both = now.join(was, ["_node", "_was"], "left")
+        if compared is not None:
+            compared.append(both.agg(F.coalesce(F.sum(F.size("kids")), F.lit(0))).first()[0])
+        new = F.array_except("kids", F.coalesce("_old", F.slice("kids", 1, 0)))
+        changed = both.select(F.explode(new).alias("k"), "_at", "_was").select(F.col("k.kid").alias("_node"), "_at", "_was")
+    return changed.select("_node", "_at")
 
 
 def attribute_history(
@@ -63,7 +105,8 @@ def attribute_history(
     state: dict[str, Column],
     keep_state: bool = False,
     rows_per_leaf: int = 512,
-    fanout: int = 16,
+    bits: int = 4,
+    compared: list[int] | None = None,
 ) -> DataFrame:
     """One row per version of an entity: ``key``, ``valid_from``, ``valid_to`` (null for the last), and with
     ``keep_state`` the columns named in ``state``.
@@ -76,6 +119,9 @@ def attribute_history(
       loaded at the same moment the larger fingerprint counts, so the result doesn't depend on row order.
     * Null state values agree with null only.  An empty table gives an empty history.
     * Only the named columns are read; other columns, whatever their names, play no part.
+
+    ``rows_per_leaf`` and ``bits`` (2 ** bits children a node) shape the tree and never change the result; ``compared``
+    receives the number of nodes compared at each level, root first.
     """
     src = snapshots.select(
         F.col(key).alias("_key"),
@@ -84,8 +130,6 @@ def attribute_history(
         *[c.alias(f"_s{i}") for i, c in enumerate(state.values())],
     ).where(F.col("_key").isNotNull() & F.col("_at").isNotNull())
     names = [f"_s{i}" for i in range(len(state))]
-    n_rows = snapshots.count()
-    leaves, levels = _tree_shape(n_rows, rows_per_leaf, fanout)
 
     # The order of loads as one fixed-width number, the fingerprint its last 64 bits: resolving is a hash aggregation that
     # combines before it shuffles, so a key sent again and again costs no task more than one row a snapshot.
@@ -93,31 +137,15 @@ def attribute_history(
     rank = load + F.col("_fp").cast("decimal(20,0)")
     rows = src.select("_key", "_at", "_loaded", fingerprint([F.col(n) for n in names]).alias("_fp"))
     rows = rows.groupBy("_key", "_at").agg(F.max_by("_fp", rank).alias("_fp"))
-    rows = rows.withColumn("_leaf", F.pmod(F.xxhash64("_key"), F.lit(leaves)).cast("int"))
-    rows = rows.withColumn("_branch", (F.col("_leaf") / fanout).cast("int")).repartition("_branch")
-    rows = staged(rows.select("_key", "_at", "_fp", "_leaf", "_branch"), "resolved")
-    by_key = Window.partitionBy("_branch", "_leaf", "_key")
-
-    cell = F.xxhash64("_key", "_fp"), F.xxhash64(F.lit(1), "_fp", "_key")
-    digests = [F.bit_xor(cell[0]).alias("_d1"), F.bit_xor(cell[1]).alias("_d2"), F.count(F.lit(1)).alias("_n")]
-    leaf_nodes = rows.groupBy("_branch", "_leaf", "_at").agg(*digests)
-    tree = [leaf_nodes.groupBy("_branch", "_at").agg(*_folded("_leaf"))]
-    for level in range(2, levels + 1):
-        below = tree[-1].withColumnRenamed("_branch", "_child").withColumn("_branch", (F.col("_child") / fanout).cast("int"))
-        tree.append(below.groupBy("_branch", "_at").agg(*_folded("_child")))
-
-    changed: DataFrame | None = None
-    for nodes in reversed(tree):
-        if changed is not None:
-            parent = changed.select(F.col("_branch").alias("_p"), F.col("_at").alias("_pa"))
-            at = ((F.col("_branch") / fanout).cast("int") == F.col("_p")) & (F.col("_at") == F.col("_pa"))
-            here = _differing(nodes, ["_branch"]).join(parent, at, "left_semi")
-        else:
-            here = _differing(nodes, ["_branch"])
-        changed = here.select("_branch", "_at")
-    leaf_diff = _differing(leaf_nodes, ["_branch", "_leaf"]).join(changed, ["_branch", "_at"], "left_semi")
-    kept = rows.join(leaf_diff.select("_branch", "_leaf", "_at"), ["_branch", "_leaf", "_at"], "left_semi")
-
+    # A million stretches of the hash keep neighbouring leaves in one file, however deep the tree will be.
+    seen = Observation()
+    rows = rows.repartition(F.shiftrightunsigned(F.xxhash64("_key"), 44)).observe(seen, F.count(F.lit(1)).alias("n"))
+    rows = staged(rows.select("_key", "_at", "_fp"), "resolved").withColumn("_h", F.xxhash64("_key"))
+    depth = _depth(seen.get["n"], rows_per_leaf, bits)
+    leaves = changed_leaves(merkle_levels(rows, depth, bits), compared)
+    kept = rows.withColumn("_node", _node(F.col("_h"), depth, bits)).join(leaves, ["_node", "_at"], "left_semi")
+
+    by_key = Window.partitionBy("_key")
     order = by_key.orderBy("_at")
     starts = kept.withColumn("_was", F.lag("_fp").over(order)).where(
         F.col("_was").isNull() | (F.col("_was") != F.col("_fp"))

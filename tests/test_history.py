@@ -50,7 +50,7 @@ def test_against_brute_force(spark, leaf):
                 s = rnd.choice(["open", "closed", None])
             for _ in range(1 + (rnd.random() < 0.1)):
                 rows.append((i, m, s if rnd.random() < 0.95 else "late", dt.datetime(2024, 12, 1) + dt.timedelta(seconds=len(rows))))
-    assert run(spark, rows, rows_per_leaf=leaf, fanout=4) == brute(rows)
+    assert run(spark, rows, rows_per_leaf=leaf, bits=2) == brute(rows)
 
 
 def test_edges(spark):
@@ -60,3 +60,23 @@ def test_edges(spark):
     assert run(spark, rows) == [(1, d(2024, 1, 1), None, None)]
     swapped = [(1, d(2024, 1, 1), "a", t), (1, d(2024, 1, 1), "b", t + dt.timedelta(1)), (1, d(2024, 2, 1), "b", t), (1, d(2024, 2, 1), "a", t + dt.timedelta(1))]
     assert run(spark, swapped) == [(1, d(2024, 1, 1), d(2024, 2, 1), "b"), (1, d(2024, 2, 1), None, "a")]
+
+
+def test_opens_only_what_differs(spark):
+    months = [dt.date(2024, m, 1) for m in range(1, 5)]
+    loaded = dt.datetime(2024, 12, 1)
+    same = [(i, m, "open", loaded) for i in range(2000) for m in months]
+    one = [(i, m, "closed" if i == 7 and m == months[2] else s, t) for i, m, s, t in same]
+    counts = {}
+    for name, rows in (("same", same), ("one", one)):
+        seen = counts[name] = []
+        assert run(spark, rows, rows_per_leaf=8, bits=3, compared=seen) == brute(rows)
+    depth = len(counts["same"])
+    assert depth == 4
+    # The first snapshot has nothing before it and is opened whole; the others end at the root.
+    first = counts["same"]
+    assert first[0] == 4 * 8
+    assert all(n <= 8 ** (i + 1) for i, n in enumerate(first) if i)
+    # One key that changes and changes back: two snapshots, one branch of eight nodes a level.
+    assert [b - a for a, b in zip(first, counts["one"])][0] == 0
+    assert all(0 < b - a <= 2 * 8 for a, b in zip(first[1:], counts["one"][1:]))
