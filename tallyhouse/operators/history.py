@@ -14,6 +14,7 @@ twice (digests, changed leaves).
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
@@ -54,25 +55,32 @@ def _folded(kids: str, seed: int) -> Column:
 
 
 def merkle_levels(rows: DataFrame, depth: int, bits: int) -> list[DataFrame]:
-    """The inner levels of the tree, root first: (_node, _at, kids: array of (kid, d1, d2, n)), each written once.
+    """The inner levels of the tree, root first: (_node, _at, kids: array of (kid, d1, d2, n)).
 
-    ``rows``: _h (hash of the key), _key, _at, _fp (fingerprint of the state).
+    ``rows``: _h (hash of the key), _key, _at, _fp (fingerprint of the state).  The lowest level is written once, those above
+    it, a sixteenth of it or so, together in one more pass.
     """
     kid = F.struct(F.col("_kid").alias("kid"), "d1", "d2", "n")
-    below = rows.groupBy(_node(F.col("_h"), depth, bits).alias("_kid"), "_at").agg(
-        *_digest(F.struct("_key", "_fp")), F.count(F.lit(1)).alias("n")
-    )
-    out: list[DataFrame] = []
-    for level in range(depth - 1, -1, -1):
+
+    def above(kids: DataFrame, level: int) -> DataFrame:
         parent = F.shiftrightunsigned("_kid", bits) if level else F.lit(0).cast("long")
         # At most 2 ** bits children: the array is bounded.
-        nodes = below.groupBy(parent.alias("_node"), "_at").agg(F.array_sort(F.collect_list(kid)).alias("kids"))
-        nodes = staged(nodes, f"level-{level}")
-        out.insert(0, nodes)
-        below = nodes.select(
+        return kids.groupBy(parent.alias("_node"), "_at").agg(F.array_sort(F.collect_list(kid)).alias("kids"))
+
+    leaves = rows.groupBy(_node(F.col("_h"), depth, bits).alias("_kid"), "_at").agg(
+        *_digest(F.struct("_key", "_fp")), F.count(F.lit(1)).alias("n")
+    )
+    out = [staged(above(leaves, depth - 1), "lowest")]
+    for level in range(depth - 2, -1, -1):
+        kids = out[0].select(
             F.col("_node").alias("_kid"), "_at", _folded("kids", 1).alias("d1"), _folded("kids", 2).alias("d2"),
             F.aggregate("kids", F.lit(0).cast("long"), lambda acc, k: acc + k["n"]).alias("n"),
         )
+        out.insert(0, above(kids, level))
+    if depth > 1:
+        upper = reduce(DataFrame.unionByName, [d.withColumn("_level", F.lit(i)) for i, d in enumerate(out[:-1])])
+        upper = staged(upper, "upper")
+        out[:-1] = [upper.where(F.col("_level") == i).drop("_level") for i in range(depth - 1)]
     return out
 
 
