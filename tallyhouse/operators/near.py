@@ -16,6 +16,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from tallyhouse.session import staged
+
 EARTH_M = 6_371_000.0
 
 
@@ -123,22 +125,40 @@ def near_points(
     return ordered.mapInArrow(_sweeper(float(metres), sphere), "a long, b long, metres double")
 
 
-def near_members(members: DataFrame, metres: float, *, id_col: str = "id", **options: float) -> DataFrame:
+def near_members(
+    members: DataFrame, metres: float, *, id_col: str = "id", one_place: bool = False, block: int = 1024, **options: float
+) -> DataFrame:
     """Pairs (``id_a`` < ``id_b``) of ids at most ``metres`` apart, from rows (``id_col``, ``lat``, ``lon``).
 
-    Ids at the very same position are swept as one point and expanded afterwards by joins, so a position that holds a
-    large part of all rows loads no single sweep.  An id given twice pairs once; an id with two places pairs from both,
-    never with itself.
+    Ids at the very same position are swept as one point.  A position's ids lie in hashed blocks of about ``block``; near
+    positions, and a position with itself, become pairs of blocks, each of which is spread out on its own, so neither a
+    position that holds a large part of all rows nor two of them load one task.  An id given twice pairs once; an id with
+    two places pairs from both, never with itself.  ``one_place`` says that no id has two places: then no pair can come
+    twice, and the pairs, which outnumber the rows, are not shuffled to find out.
     """
     m = members.select(
         F.col(id_col).alias("id"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon")
     ).where(F.col("id").isNotNull() & F.col("lat").between(-90, 90) & F.col("lon").between(-180, 180)).distinct()
     # 64 bits name a position: among 10^8 positions two share a name with a chance below 0.0003.
     m = m.withColumn("point", F.xxhash64("lat", "lon"))
-    places = m.groupBy("point").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"))
-    pairs = near_points(places, metres, **options)
-    a, b = m.select(F.col("id").alias("_x"), F.col("point").alias("a")), m.select(F.col("id").alias("_y"), F.col("point").alias("b"))
-    across = pairs.select("a", "b").join(a, "a").join(b, "b").select("_x", "_y")
-    within = a.join(m.select(F.col("id").alias("_y"), F.col("point").alias("a")), "a").where("_x < _y").select("_x", "_y")
-    out = across.unionByName(within).where("_x != _y")
-    return out.select(F.least("_x", "_y").alias("id_a"), F.greatest("_x", "_y").alias("id_b")).distinct()
+    width = m.groupBy("point").agg(F.ceil(F.count(F.lit(1)) / block).cast("int").alias("k"))
+    blocks = m.join(width, "point").withColumn("at", F.pmod(F.xxhash64("id", F.lit(1)), F.col("k")).cast("int"))
+    blocks = blocks.groupBy("point", "k", "at").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.collect_list("id").alias("ids"))
+    blocks = staged(blocks, "blocks")
+
+    side = lambda p, *cols: blocks.select(F.col("point").alias(p), *[F.col(c).alias(f"{p}_{c}") for c in cols])
+    # A block may stay empty, the first of a position too, so positions are named by their distinct rows.
+    places = blocks.groupBy("point").agg(F.first("lat").alias("lat"), F.first("lon").alias("lon"), F.first("k").alias("k"), F.sum(F.size("ids")).alias("n"))
+    same = places.where("n > 1").select(F.col("point").alias("a"), F.col("point").alias("b"), F.col("k").alias("a_k"), F.col("k").alias("b_k"))
+    pairs = near_points(places, metres, **options).select("a", "b")
+    for p in ("a", "b"):
+        pairs = pairs.join(places.select(F.col("point").alias(p), F.col("k").alias(f"{p}_k")), p)
+    pairs = pairs.select(*same.columns).unionByName(same)
+    pairs = pairs.withColumn("a_at", F.explode(F.sequence(F.lit(0), F.col("a_k") - 1)))
+    first = F.when(F.col("a") == F.col("b"), F.col("a_at")).otherwise(0)
+    pairs = pairs.withColumn("b_at", F.explode(F.sequence(first, F.col("b_k") - 1)))
+    both = pairs.select("a", "a_at", "b", "b_at").join(side("a", "at", "ids"), ["a", "a_at"]).join(side("b", "at", "ids"), ["b", "b_at"])
+    both = both.repartition("a", "a_at", "b", "b_at").withColumn("_x", F.explode("a_ids")).withColumn("_y", F.explode("b_ids"))
+    within = (F.col("a") != F.col("b")) | (F.col("a_at") != F.col("b_at")) | (F.col("_x") < F.col("_y"))
+    out = both.where(within & (F.col("_x") != F.col("_y"))).select(F.least("_x", "_y").alias("id_a"), F.greatest("_x", "_y").alias("id_b"))
+    return out if one_place else out.distinct()

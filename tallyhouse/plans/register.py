@@ -111,7 +111,7 @@ WHERE abs(a.lon - b.lon) < 0.02 AND 2 * 6371000.0 * asin(sqrt(least(1.0, power(s
 @C.query("p4_found", P4_SQL)
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every two schools of the register at most 400 metres apart."""
-    pairs = near_members(school_places(spark, sf_dir), 400.0, id_col="urn")
+    pairs = near_members(school_places(spark, sf_dir), 400.0, id_col="urn", one_place=True)  # a row a school
     return pairs.select(F.col("id_a").alias("urn_a"), F.col("id_b").alias("urn_b"))
 
 

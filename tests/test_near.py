@@ -37,3 +37,12 @@ def test_edges(spark):
     assert near_members(spark.createDataFrame([], s), 400.0).collect() == []
     rows = [(1, None, 0.0), (2, 99.9, 0.0), (3, float("nan"), 0.0), (4, 1.0, 1.0), (4, 1.0, 1.0), (5, 1.0, 1.0), (None, 1.0, 1.0)]
     assert [tuple(r) for r in near_members(spark.createDataFrame(rows, s), 400.0).collect()] == [(4, 5)]
+
+
+def test_hot_positions_in_blocks(spark):
+    rows = [(i, 51.5, -0.1) for i in range(40)] + [(100 + i, 51.5001, -0.1) for i in range(15)] + [(200, 52.0, 0.0)]
+    df = spark.createDataFrame(rows, "id long, lat double, lon double")
+    want = {(a, b) for a, *_ in rows[:-1] for b, *_ in rows[:-1] if a < b}
+    for one in (False, True):
+        got = [(r.id_a, r.id_b) for r in near_members(df, 100.0, block=4, one_place=one).collect()]
+        assert len(got) == len(set(got)) and set(got) == want
