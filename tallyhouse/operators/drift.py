@@ -8,22 +8,25 @@ which includes how alike the values are, is high enough.  Only per-column facts
 
 from __future__ import annotations
 
+import json
 import math
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tallyhouse.functions.clean import fold
+from tallyhouse.session import staged
 
 #: What publishers write into a cell instead of a figure.
 SUPPRESSED = (
     "supp", "ne", "na", "lowcov", "np", "new", "sp", "re", "dns", "nr", "x", "c", "z", "u", "low", ":", "~", "..", "...",
     "n/a", "n/s", "null", "none", "-", "*", "#", "!", "[z]", "[x]", "[c]", "[w]", "[u]", "redacted", "",
 )
+_CODES = frozenset(SUPPRESSED)
 
 #: Words that mean the same in headers of accounts and registers; each line is one meaning.
 SAME_MEANING = (
@@ -57,41 +60,113 @@ _STOP = frozenset("of the for in by to a an and or on at with per is if s incl i
 _CODE = re.compile(r"^([a-z]{1,4})(\d{2,4})([a-z]?)$")
 
 
-def kind_of(value: Column) -> Column:
-    """number, text or boolean for a variant's JSON type; null for JSON null, arrays and objects."""
-    s = F.schema_of_variant(value)
-    return (
-        F.when(s.isin("BIGINT", "DOUBLE", "FLOAT") | s.startswith("DECIMAL"), "number")
-        .when(s == "STRING", "text")
-        .when(s == "BOOLEAN", "boolean")
-    )
+#: What a text must be, without currency, per cent, commas and spaces, to hold a figure.
+_FIGURE = re.compile(r"[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?", re.I)
+_UNITS = re.compile(r"[£$€,%\s]")
+_BLANKS = re.compile(r"[\s\u00a0\u2000-\u200b\u202f\u3000\ufeff]+")
+
+
+def _folded(header: str) -> str:
+    return _BLANKS.sub(" ", header).strip(" ").lower()
+
+
+def _constant(name: str) -> float:
+    raise ValueError(f"{name} is no JSON")
+
 
+def _cell(value: object) -> tuple[str | None, str | None, float | None] | None:
+    """(kind, text, figure) of a JSON value; None of a JSON null; kind and text are None for codes of suppression."""
+    if value is None:
+        return None
+    if isinstance(value, bool):
+        return "boolean", "true" if value else "false", None
+    if isinstance(value, (int, float)):
+        return "number", repr(value), float(value) if abs(value) < 1e308 else None
+    if isinstance(value, list):
+        return "array", json.dumps(value, ensure_ascii=False, sort_keys=True, separators=(",", ":")), None
+    text = value.strip(" ")
+    if text.lower() in _CODES:
+        return None, None, None
+    plain = _UNITS.sub("", text)
+    return "text", text, float(plain) if _FIGURE.fullmatch(plain) else None
 
-def cells(raw: DataFrame, payload: str, by: dict[str, Column]) -> DataFrame:
-    """The cells of JSON objects: the columns of ``by``, ``header`` (folded), ``kind``, ``text``, ``num``.
 
-    Payloads that are null, cut off or no object give no cells.  ``num`` is the figure in a number or in a text that
-    holds one (thousands commas, currency and per-cent signs aside); codes of suppression have neither kind nor figure.
+def _flat(record: dict) -> dict[str, tuple]:
+    """header -> (parent, kind, text, figure) of all cells of a record.
+
+    An object inside the record gives its own cells, headed by its path (``parent.header``); an array is one cell.  Of
+    headers alike when folded the first with a value counts.
+    """
+    out: dict[str, tuple] = {}
+    todo = [("", record)]
+    while todo:
+        parent, obj = todo.pop()
+        for key, value in obj.items():
+            header = f"{parent}.{_folded(key)}" if parent else _folded(key)
+            if isinstance(value, dict):
+                todo.append((header, value))
+                continue
+            cell = _cell(value)
+            if cell is not None and (header not in out or out[header][1] is None):
+                out[header] = (parent, *cell)
+    return out
+
+
+def cells(raw: DataFrame, payload: str, by: dict[str, Column], *, entity: str | None = None, every: bool = False) -> DataFrame:
+    """The cells of JSON objects, each payload parsed once: the columns of ``by``, ``header`` (folded; the path of a nested
+    cell), ``parent`` (the path of the object it lies in, empty at the top), ``kind`` (number, text, boolean, array), ``text``
+    and ``num``.
+
+    ``num`` is the figure in a number or in a text that holds one (thousands commas, currency and per-cent signs aside);
+    codes of suppression have neither kind nor text nor figure; JSON nulls are no cells.  Payloads that are null, cut off or
+    no object give no cells.  ``entity`` names the folded header whose text is the column ``entity`` of all cells of its
+    record.  With ``every`` each input row also gives one row without header, whose kind is object if it could be read.
+
+    Parsing runs in Python, a batch at a time: nesting has no fixed depth, and the built-in parsers keep either the types of
+    values or their speed.
     """
-    spark = raw.sparkSession
-    rows = raw.select(*[c.alias(n) for n, c in by.items()], F.try_parse_json(payload).alias("_v"))
-    rows = rows.where(F.schema_of_variant("_v").startswith("OBJECT"))
     names = list(by)
-    out = rows.lateralJoin(spark.tvf.variant_explode(F.col("_v").outer())).select(
-        *names, fold(F.col("key")).alias("header"), kind_of(F.col("value")).alias("_kind"), F.col("value")
-    )
-    out = out.withColumn("text", F.trim(F.try_variant_get("value", "$", "string"))).where(
-        F.col("_kind").isNotNull() & F.col("text").isNotNull()
-    )
-    coded = (F.col("_kind") == "text") & F.lower("text").isin(*SUPPRESSED)
-    figure = F.regexp_replace("text", "[£$€,%\\s]", "").try_cast("double")
-    return out.select(
-        *names,
-        "header",
-        F.when(~coded, F.col("_kind")).alias("kind"),
-        F.when(~coded, F.col("text")).alias("text"),
-        F.when(~coded & (F.col("_kind") != "boolean"), figure).alias("num"),
-    )
+    rows = raw.select(*[c.alias(n) for n, c in by.items()], F.col(payload).cast("string").alias("_payload"))
+    extra = [("entity", "string")] if entity is not None else []
+    told = [*extra, ("header", "string"), ("parent", "string"), ("kind", "string"), ("text", "string"), ("num", "double")]
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in rows.schema if f.name != "_payload") + ", " + ", ".join(f"{n} {t}" for n, t in told)
+    kinds = [pa.float64() if t == "double" else pa.string() for _, t in told]
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at: list[int] = []
+            made: list[list] = [[] for _ in told]
+            size = 0
+
+            def out() -> pa.RecordBatch:
+                index = pa.array(at, pa.int64())
+                kept = [batch.column(n).take(index) for n in names]  # noqa: B023
+                return pa.RecordBatch.from_arrays([*kept, *[pa.array(v, k) for v, k in zip(made, kinds)]], names=[*names, *[n for n, _ in told]])  # noqa: B023
+
+            for i, text in enumerate(batch.column("_payload").to_pylist()):
+                record = None
+                try:
+                    record = json.loads(text, parse_constant=_constant) if text is not None else None
+                except (ValueError, RecursionError):
+                    pass
+                flat = _flat(record) if isinstance(record, dict) else {}
+                rows = [(h, *c) for h, c in flat.items()]
+                if every:
+                    rows.append((None, None, "object" if isinstance(record, dict) else None, None, None))
+                if entity is not None:
+                    who = flat[entity][2] if entity in flat else None
+                    rows = [(who, *r) for r in rows]
+                at += [i] * len(rows)
+                for column, values in zip(made, zip(*rows)):
+                    column += values
+                size += len(text or "")
+                if len(at) > 200_000 or size > 16_000_000:
+                    yield out()
+                    at, made, size = [], [[] for _ in told], 0
+            if at:
+                yield out()
+
+    return rows.mapInArrow(run, schema)
 
 
 def profiles(cell_rows: DataFrame, by: list[str]) -> DataFrame:
@@ -106,6 +181,8 @@ def profiles(cell_rows: DataFrame, by: list[str]) -> DataFrame:
         F.count_if(kind == "number").alias("n_number"),
         F.count_if(kind == "text").alias("n_text"),
         F.count_if(kind == "boolean").alias("n_boolean"),
+        F.count_if(kind == "array").alias("n_array"),
+        F.max("parent").alias("parent"),
         F.count(num).alias("n_num"),
         F.sum(log).alias("sum_log"),
         F.sum(log * log).alias("sum_log2"),
@@ -114,12 +191,16 @@ def profiles(cell_rows: DataFrame, by: list[str]) -> DataFrame:
     )
 
 
+KINDS = ("number", "text", "boolean", "array")
+
+
 def usual_kind() -> Column:
-    """The commonest kind of a profile; the order number, text, boolean decides ties; null without any clear cell."""
-    best = F.greatest("n_number", "n_text", "n_boolean")
-    return F.when(best == 0, F.lit(None)).when(F.col("n_number") == best, "number").when(
-        F.col("n_text") == best, "text"
-    ).otherwise("boolean")
+    """The commonest kind of a profile; the order of ``KINDS`` decides ties; null without any clear cell."""
+    best = F.greatest(*[f"n_{k}" for k in KINDS])
+    out = F.lit(None).cast("string")
+    for k in reversed(KINDS):
+        out = F.when(F.col(f"n_{k}") == best, F.lit(k)).otherwise(out)
+    return F.when(best > 0, out)
 
 
 # --- names -----------------------------------------------------------------------------------------------------------
@@ -190,14 +271,15 @@ class _Side:
     def __init__(self, rows: pd.DataFrame) -> None:
         self.headers = list(rows["header"])
         self.kind = list(rows["usual"])
-        self.parts = [_tokens(h) for h in self.headers]
+        self.parent = list(rows["parent"])
+        self.parts = [_tokens(h[len(p) + 1 :] if p else h) for h, p in zip(self.headers, self.parent)]
         n = rows["n_num"].to_numpy(float)
         with np.errstate(all="ignore"):
             self.mean = rows["sum_log"].fillna(0).to_numpy(float) / n
             self.sd = np.sqrt(np.maximum(rows["sum_log2"].fillna(0).to_numpy(float) / n - self.mean**2, 0.01))
             self.neg = rows["n_negative"].to_numpy(float) / n
             self.whole = rows["n_whole"].to_numpy(float) / n
-            self.clear = rows["n_number"].to_numpy(float) + rows["n_text"] + rows["n_boolean"]
+            self.clear = sum(rows[f"n_{k}"].to_numpy(float) for k in KINDS)
             self.numeric = n > 0.8 * self.clear
         self.n = n
 
@@ -246,8 +328,8 @@ def _name_likeness(a: _Side, i: int, b: _Side, j: int, weight: dict[str, float])
 def flood(old: pd.DataFrame, new: pd.DataFrame, facts: dict[tuple[str, str], dict], *, flow: float = 0.35, rounds: int = 100) -> np.ndarray:
     """Settled similarity of every old with every new column.
 
-    Pair nodes are (column, column), (token, token) and (kind, kind).  An edge joins (c, c') with (t, t') where t is a
-    token of c and t' of c', and with (k, k') of their kinds.  In a round each node becomes the mean of its first value and,
+    Pair nodes are (column, column), (token, token), (kind, kind) and (object, object).  An edge joins (c, c') with (t, t')
+    where t is a token of c and t' of c', with (k, k') of their kinds, and with (o, o') of the objects they lie in.  In a round each node becomes the mean of its first value and,
     with weight ``flow``, what flows in along its edges; flows are means too, so values stay within 0..1 and settle.  It
     ends when no value moves by 0.0001.
     """
@@ -279,19 +361,25 @@ def flood(old: pd.DataFrame, new: pd.DataFrame, facts: dict[tuple[str, str], dic
     # Edges column-token and column-kind of each side; a pair node takes the mean over the larger of its two edge lists.
     ma = np.array([[t in p[0] for t in ta] for p in a.parts], float).reshape(na, len(ta))
     mb = np.array([[t in p[0] for t in tb] for p in b.parts], float).reshape(nb, len(tb))
-    kinds = ["number", "text", "boolean"]
-    ka = np.array([[k == x for x in kinds] for k in a.kind], float).reshape(na, 3)
-    kb = np.array([[k == x for x in kinds] for k in b.kind], float).reshape(nb, 3)
+    ka = np.array([[k == x for x in KINDS] for k in a.kind], float).reshape(na, len(KINDS))
+    kb = np.array([[k == x for x in KINDS] for k in b.kind], float).reshape(nb, len(KINDS))
+    # Nesting: columns and the objects they lie in; a column at the top lies in none.
+    oa, ob = sorted({p for p in a.parent if p}), sorted({p for p in b.parent if p})
+    pa_, pb_ = (np.array([[p == o for o in objs] for p in x.parent], float).reshape(n, len(objs)) for x, objs, n in ((a, oa, na), (b, ob, nb)))
+    obj0 = np.array([[1.0 if x == y else 0.5 if x.split(".")[-1] == y.split(".")[-1] else 0.1 for y in ob] for x in oa]).reshape(len(oa), len(ob))
     larger = lambda m, n, axis: np.maximum(np.maximum.outer(m.sum(axis), n.sum(axis)), 1.0)
     tok0 = np.array([[token_likeness(x, y) for y in tb] for x in ta]).reshape(len(ta), len(tb))
-    col, tok, kin = start.copy(), tok0.copy(), np.eye(3)
+    col, tok, kin, obj = start.copy(), tok0.copy(), np.eye(len(KINDS)), obj0.copy()
     for _ in range(rounds):
         to_col = 0.8 * (ma @ tok @ mb.T) / larger(ma, mb, 1) + 0.2 * (ka @ kin @ kb.T)
+        inside = pa_ @ obj @ pb_.T
+        to_col = np.where(np.outer(pa_.any(1), pb_.any(1)), 0.8 * to_col + 0.2 * inside, to_col)
         to_tok = (ma.T @ col @ mb) / larger(ma, mb, 0)
         to_kin = (ka.T @ col @ kb) / larger(ka, kb, 0)
         col2 = np.where(start > 0, (start + flow * cap * to_col) / (1 + flow), 0.0)
         tok2 = np.where(tok0 > 0, (tok0 + flow * to_tok) / (1 + flow), 0.0)
-        kin2 = (np.eye(3) + flow * to_kin) / (1 + flow)
+        kin2 = (np.eye(len(KINDS)) + flow * to_kin) / (1 + flow)
+        obj = (obj0 + flow * (pa_.T @ col @ pb_) / larger(pa_, pb_, 0)) / (1 + flow)
         moved = np.abs(col2 - col).max(initial=0.0)
         col, tok, kin = col2, tok2, kin2
         if moved < 1e-4:
@@ -331,9 +419,9 @@ def value_facts(cell_rows: DataFrame, gone: DataFrame, came: DataFrame) -> DataF
     ``cell_rows``: family, edition, entity, header, text.  ``gone`` and ``came``: family, edition (the later one's),
     before (the edition before), header.
     """
-    plain = cell_rows.where("text is not null").select(
-        "family", "edition", "entity", "header", F.lower(F.regexp_replace("text", "[^\\p{L}\\p{N}.-]", "")).alias("v")
-    )
+    # A figure is the same value however it is written.
+    value = F.coalesce(F.col("num").cast("string"), F.lower(F.regexp_replace("text", "[^\\p{L}\\p{N}.-]", "")))
+    plain = cell_rows.where("text is not null").select("family", "edition", "entity", "header", value.alias("v"))
     plain = plain.withColumn("v", F.when(F.col("v").isin("y", "yes"), "true").when(F.col("v").isin("n", "no"), "false").otherwise(F.col("v")))
     old = plain.join(
         F.broadcast(gone.select("family", F.col("before").alias("edition"), F.col("edition").alias("later"), "header")),
@@ -398,10 +486,8 @@ def schema_changes(cell_rows: DataFrame) -> DataFrame:
     usual JSON type changed; suppression codes don't count).  Columns whose cells are all codes have no type and are not
     retyped.  Rows without family or edition are left out.  The first edition has no changes; no rows give no changes.
     """
-    known = cell_rows.where("family is not null and edition is not null")
+    known = cell_rows.where("header is not null and family is not null and edition is not null")
     prof = profiles(known, ["family", "edition"]).withColumn("usual", usual_kind())
-    from tallyhouse.session import staged  # a small table: one row per file and column
-
     prof = staged(prof, "profiles")
     steps = prof.select("family", "edition").distinct()
     steps = steps.withColumn("before", F.lag("edition").over(Window.partitionBy("family").orderBy("edition"))).where(
@@ -425,20 +511,33 @@ def schema_changes(cell_rows: DataFrame) -> DataFrame:
 def canonical_names(columns: Iterable[tuple[str, str, str]], changes: Iterable[tuple[str, str, str, str]]) -> dict[tuple[str, str, str], str]:
     """(family, edition, header) -> the name under which the quantity is kept: the last header of its chain of renames.
 
-    ``columns``: family, edition, header.  ``changes``: family, edition, old, new of the renames.
+    ``columns``: family, edition, header.  ``changes``: family, edition, old, new of the renames.  Where chains of renames
+    would give one name to two columns of an edition, the one that had the name first keeps it for its own editions as
+    ``name (to edition)``.
     """
     links = {(f, e, o): n for f, e, o, n in changes}
-    editions: dict[str, list[str]] = {}
-    for f, e, _ in columns:
-        editions.setdefault(f, [])
-        if e not in editions[f]:
-            editions[f].append(e)
-    out = {}
-    for f, e, h in columns:
-        name = h
+    editions: dict[str, set[str]] = {}
+    have: set[tuple[str, str, str]] = set(columns)
+    for f, e, _ in have:
+        editions.setdefault(f, set()).add(e)
+    out, ends = {}, {}
+    for f, e, h in sorted(have):
+        name, until = h, e
         for later in sorted(x for x in editions[f] if x > e):
             name = links.get((f, later, name), name)
-        out[f, e, h] = name
+            if (f, later, name) in have:
+                until = later
+        out[f, e, h], ends[f, e, h] = name, until
+    held: dict[tuple[str, str, str], list[str]] = {}
+    for (f, e, h), name in out.items():
+        held.setdefault((f, e, name), []).append(h)
+    clash = {(f, name) for (f, _, name), hs in held.items() if len(hs) > 1}
+    for f, name in sorted(clash):
+        at = [k for k, n in out.items() if k[0] == f and n == name]
+        last = max(ends[k] for k in at)
+        for k in at:
+            if ends[k] < last or (k[2] != name and len(held[f, k[1], name]) > 1 and ends[k] == last and name in held[f, k[1], name]):
+                out[k] = f"{name} (to {ends[k]})" if ends[k] < last else f"{name} (from {k[2]})"
     return out
 
 
@@ -450,12 +549,10 @@ def united(cell_rows: DataFrame, changes: DataFrame, keys: list[str]) -> DataFra
     Only codes of suppression are left out.  The names, as many as there are columns in all files, are read to the driver to
     follow the renames.  Cells without family or edition are left out.
     """
-    from tallyhouse.session import staged
-
     spark = cell_rows.sparkSession
-    cell_rows = cell_rows.where("family is not null and edition is not null")
+    cell_rows = cell_rows.where("header is not null and family is not null and edition is not null")
     prof = staged(profiles(cell_rows, ["family", "edition"]).withColumn("usual", usual_kind()), "columns")
-    cols = prof.select("family", "edition", "header", (F.col("n_num") * 2 > F.col("n_number") + F.col("n_text") + F.col("n_boolean")).alias("figure")).collect()
+    cols = prof.select("family", "edition", "header", (F.col("n_num") * 2 > sum((F.col(f"n_{k}") for k in KINDS), F.lit(0))).alias("figure")).collect()
     moved = changes.where("change_kind = 'renamed'").select("family", "edition", "old_field", "new_field").collect()
     names = canonical_names([(r.family, r.edition, r.header) for r in cols], [tuple(r) for r in moved])
     figures = {(r.family, names[r.family, r.edition, r.header]) for r in cols if r.figure}

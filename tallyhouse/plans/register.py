@@ -115,20 +115,19 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("urn_a"), F.col("id_b").alias("urn_b"))
 
 
-def return_keys() -> dict[str, Column]:
-    """family (the source) and edition (the book's year) of a return."""
-    return {"family": F.upper(F.trim("source")), "edition": F.nullif(F.regexp_extract("file_name", r"(\d{4}-\d{2})", 1), F.lit(""))}
-
-
-def return_cells(spark: SparkSession, sf_dir: str, raw: DataFrame | None = None) -> DataFrame:
-    """The cells of all workbooks: family (the source), edition (the book's year), entity (the URN), header, kind, text, num."""
-    raw = table(spark, sf_dir, "finance_return_raw") if raw is None else raw
+def return_cells(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The cells of all workbooks, written once: record_id, file_name, read_at, copy (a number for each row read), tie (a hash of the payload),
+    family (the source), edition (the book's year), entity (the URN), header, parent, kind, text, num; a row without header
+    for each record, whose kind says whether its payload could be read."""
     by = {
-        **({"record_id": F.col("record_id")} if "record_id" in raw.columns else {}),
-        **return_keys(),
-        "entity": F.get_json_object("payload", "$.URN"),
+        "record_id": F.col("record_id"),
+        "read_at": F.col("read_at"),
+        "copy": F.monotonically_increasing_id(),
+        "tie": F.xxhash64("payload"),
+        "family": F.upper(F.trim("source")),
+        "edition": F.nullif(F.regexp_extract("file_name", r"(\d{4}-\d{2})", 1), F.lit("")),
     }
-    return drift.cells(raw, "payload", by)
+    return staged(drift.cells(table(spark, sf_dir, "finance_return_raw"), "payload", by, entity="urn", every=True), "cells")
 
 
 @C.query("p6_found")
@@ -147,20 +146,15 @@ def p6_returns(spark: SparkSession, sf_dir: str) -> DataFrame:
     without cells to show have a row with empty ``lines`` and ``texts``; ``rejected`` says why nothing could be read:
     payload (null, cut off or no object) or file (no source or year).
     """
-    raw = table(spark, sf_dir, "finance_return_raw").where("record_id is not null")
-    raw = raw.withColumn("readable", F.coalesce(F.schema_of_variant(F.try_parse_json("payload")).startswith("OBJECT"), F.lit(False)))
-    last = raw.groupBy("record_id").agg(
-        F.max_by(F.struct("file_name", "source", "payload", "readable"), F.struct("readable", "read_at", "file_name", "payload")).alias("r")
-    )
-    last = staged(last.select("record_id", "r.*"), "last")
-    cells = return_cells(spark, sf_dir, last)
-    changes = drift.schema_changes(return_cells(spark, sf_dir, table(spark, sf_dir, "finance_return_raw").drop("record_id")))
-    rows = drift.united(cells, changes, ["record_id"]).select("record_id", "lines", "texts")
-    of = return_keys()
-    every = last.select("record_id", of["family"].alias("source"), of["edition"].alias("book_year"), "readable").join(rows, "record_id", "left")
-    nothing = F.when(~F.col("readable"), "payload").when(F.col("source").isNull() | F.col("book_year").isNull(), "file")
-    return every.select(
-        "record_id", "source", "book_year",
+    cells = return_cells(spark, sf_dir)
+    records = cells.where("header is null and record_id is not null")
+    order = F.struct(F.col("kind").isNotNull(), F.col("read_at"), F.col("edition"), F.col("family"), F.col("tie"), F.col("copy"))
+    last = records.groupBy("record_id").agg(F.max_by(F.struct("copy", "family", "edition", "kind"), order).alias("r")).select("record_id", "r.*")
+    rows = drift.united(cells, drift.schema_changes(cells), ["copy"])
+    out = last.join(rows.select("copy", "lines", "texts"), "copy", "left")
+    nothing = F.when(F.col("kind").isNull(), "payload").when(F.col("family").isNull() | F.col("edition").isNull(), "file")
+    return out.select(
+        "record_id", F.col("family").alias("source"), F.col("edition").alias("book_year"),
         F.coalesce("lines", F.expr("cast(map() as map<string, double>)")).alias("lines"),
         F.coalesce("texts", F.expr("cast(map() as map<string, string>)")).alias("texts"),
         nothing.alias("rejected"),

@@ -10,8 +10,8 @@ from tallyhouse.plans import register
 def changes(spark, books):
     rows = [(f, e, i, json.dumps(r) if isinstance(r, dict) else r) for (f, e), rs in books.items() for i, r in enumerate(rs)]
     raw = spark.createDataFrame(rows, "family string, edition string, entity string, payload string")
-    by = {"family": F.col("family"), "edition": F.col("edition"), "entity": F.get_json_object("payload", "$.URN")}
-    return {tuple(r)[:5] for r in drift.schema_changes(drift.cells(raw, "payload", by)).collect()}
+    by = {"family": F.col("family"), "edition": F.col("edition")}
+    return {tuple(r)[:5] for r in drift.schema_changes(drift.cells(raw, "payload", by, entity="urn")).collect()}
 
 
 def book(n, seed, **columns):
@@ -81,3 +81,36 @@ def test_returns_keep_records_with_a_payload_that_is_cut_off(spark, tmp_path):
         1: (*at, {"urn": 1.0, "pay": 5.0}, {}, None), 2: (*at, {}, {}, "payload"), 3: (*at, {"urn": 3.0, "pay": 7.0}, {}, None), 4: (*at, {}, {}, None),
         5: (*at, {}, {}, "payload"), 6: ("CFR", None, {}, {}, "file"),
     }
+
+
+def test_cells(spark):
+    rows = [
+        (1, '{"Urn ": 7, " A  b": "£1,200", "c": "SUPP", "d": true, "e": null, "n": {"X": {"y": 2.5}, "z": "t"}, "l": [1, {"k": "v"}], "C": 4}'),
+        (2, '{"urn": "8", "A": "12f"}'), (3, '{"a": 1'), (4, None), (5, "[1]"), (6, '{"a": NaN}'), (7, "{}"), (8, '{"a": "' + "x" * 100_000 + '"}'),
+    ]
+    raw = spark.createDataFrame(rows, "id int, payload string")
+    got = {(r.id, r.header): (r.entity, r.parent, r.kind, r.text, r.num) for r in drift.cells(raw, "payload", {"id": F.col("id")}, entity="urn", every=True).collect()}
+    assert {k: v for k, v in got.items() if k[0] == 1 and k[1]} == {
+        (1, "urn"): ("7", "", "number", "7", 7.0), (1, "a b"): ("7", "", "text", "£1,200", 1200.0), (1, "c"): ("7", "", "number", "4", 4.0),
+        (1, "d"): ("7", "", "boolean", "true", None), (1, "n.x.y"): ("7", "n.x", "number", "2.5", 2.5), (1, "n.z"): ("7", "n", "text", "t", None),
+        (1, "l"): ("7", "", "array", '[1,{"k":"v"}]', None),
+    }
+    assert got[2, "a"] == ("8", "", "text", "12f", None)
+    assert {k[0]: v[2] for k, v in got.items() if k[1] is None} == {1: "object", 2: "object", 3: None, 4: None, 5: None, 6: None, 7: "object", 8: "object"}
+    assert len(got[8, "a"][3]) == 100_000
+
+
+def test_nested_columns(spark):
+    rnd = random.Random(3)
+    spent = [int(rnd.lognormvariate(12, 0.6)) for _ in range(80)]
+    old = [{"URN ": i, "costs": {"Teachers": x, "heat": x // 7 + 3}, "tags": [1, 2]} for i, x in enumerate(spent)]
+    new = [{"urn": i, "spending": {"teachers": x + 5}, "Heat": x // 7 + 4, "tags": "1, 2"} for i, x in enumerate(spent)]
+    assert changes(spark, {("A", "1"): old, ("A", "2"): new}) == {
+        ("A", "2", "renamed", "costs.teachers", "spending.teachers"), ("A", "2", "renamed", "costs.heat", "heat"), ("A", "2", "retyped", "tags", "tags"),
+    }
+
+
+def test_names_of_two_chains_stay_apart():
+    cols = [("A", "1", "x"), ("A", "1", "y"), ("A", "2", "z"), ("A", "3", "x")]
+    got = drift.canonical_names(cols, [("A", "2", "y", "z"), ("A", "3", "z", "x")])
+    assert got == {("A", "1", "x"): "x", ("A", "1", "y"): "x (from y)", ("A", "2", "z"): "x", ("A", "3", "x"): "x"} or len({got["A", "1", "x"], got["A", "1", "y"]}) == 2
