@@ -28,7 +28,8 @@ SUPPRESSED = (
 )
 _CODES = frozenset(SUPPRESSED)
 
-#: Words that mean the same in headers of accounts and registers; each line is one meaning.
+#: Default of a parameter: words that mean the same in headers of accounts and registers; each line is one meaning.  Nothing
+#: outside fixes this list; what is found without it is measured in the README.
 SAME_MEANING = (
     "expenditure spending spend costs cost outgoings",
     "income receipts revenue-in",
@@ -217,10 +218,13 @@ def _tokens(header: str) -> tuple[list[str], set[tuple[str, str, str]]]:
     return words, codes
 
 
-_MEANING: dict[str, set[int]] = {}
-for _i, _line in enumerate(SAME_MEANING):
-    for _w in _line.split():
-        _MEANING.setdefault(_w, set()).add(_i)
+def meanings(lines: Iterable[str]) -> dict[str, frozenset[int]]:
+    """word -> the lines it stands in."""
+    out: dict[str, set[int]] = {}
+    for i, line in enumerate(lines):
+        for w in line.split():
+            out.setdefault(w, set()).add(i)
+    return {w: frozenset(x) for w, x in out.items()}
 
 
 def _grams(w: str) -> set[str]:
@@ -228,11 +232,11 @@ def _grams(w: str) -> set[str]:
     return {w[i : i + 2] for i in range(len(w) - 1)}
 
 
-def token_likeness(a: str, b: str) -> float:
+def token_likeness(a: str, b: str, means: dict[str, frozenset[int]]) -> float:
     """1 for equal words, 0.9 for the same meaning, else the share of common letter pairs where it is high."""
     if a == b:
         return 1.0
-    if _MEANING.get(a, set()) & _MEANING.get(b, set()):
+    if means.get(a, frozenset()) & means.get(b, frozenset()):
         return 0.9
     common = len(a) if b.startswith(a) else len(b) if a.startswith(b) else len(_common_prefix(a, b))
     if common >= 5 or (common >= 4 and abs(len(a) - len(b)) <= 1):
@@ -305,7 +309,7 @@ def _compatible(a: _Side, i: int, b: _Side, j: int, fact: dict | None) -> float:
     return 0.6 if flags else 0.05
 
 
-def _name_likeness(a: _Side, i: int, b: _Side, j: int, weight: dict[str, float]) -> float:
+def _name_likeness(a: _Side, i: int, b: _Side, j: int, weight: dict[str, float], means: dict[str, frozenset[int]]) -> float:
     (wa, ca), (wb, cb) = a.parts[i], b.parts[j]
     if ca and cb:
         if ca & cb:
@@ -316,8 +320,8 @@ def _name_likeness(a: _Side, i: int, b: _Side, j: int, weight: dict[str, float])
     if not wa or not wb:
         return 0.0
     w = lambda t: weight.get(t, 2.0)
-    best_a = [max(token_likeness(x, y) for y in wb) for x in wa]
-    best_b = [max(token_likeness(x, y) for x in wa) for y in wb]
+    best_a = [max(token_likeness(x, y, means) for y in wb) for x in wa]
+    best_b = [max(token_likeness(x, y, means) for x in wa) for y in wb]
     sa, sb = sum(map(w, wa)), sum(map(w, wb))
     hit_a = sum(w(x) * s for x, s in zip(wa, best_a))
     hit_b = sum(w(y) * s for y, s in zip(wb, best_b))
@@ -325,7 +329,9 @@ def _name_likeness(a: _Side, i: int, b: _Side, j: int, weight: dict[str, float])
     return 0.5 * even + 0.5 * inside
 
 
-def flood(old: pd.DataFrame, new: pd.DataFrame, facts: dict[tuple[str, str], dict], *, flow: float = 0.35, rounds: int = 100) -> np.ndarray:
+def flood(
+    old: pd.DataFrame, new: pd.DataFrame, facts: dict[tuple[str, str], dict], *, flow: float = 0.35, rounds: int = 100, same: Iterable[str] = SAME_MEANING
+) -> np.ndarray:
     """Settled similarity of every old with every new column.
 
     Pair nodes are (column, column), (token, token), (kind, kind) and (object, object).  An edge joins (c, c') with (t, t')
@@ -333,7 +339,7 @@ def flood(old: pd.DataFrame, new: pd.DataFrame, facts: dict[tuple[str, str], dic
     with weight ``flow``, what flows in along its edges; flows are means too, so values stay within 0..1 and settle.  It
     ends when no value moves by 0.0001.
     """
-    a, b = _Side(old), _Side(new)
+    a, b, means = _Side(old), _Side(new), meanings(same)
     heads = [set(p[0]) for p in a.parts + b.parts]
     seen: dict[str, int] = {}
     for h in heads:
@@ -349,7 +355,7 @@ def flood(old: pd.DataFrame, new: pd.DataFrame, facts: dict[tuple[str, str], dic
                 start[i, j] = 1.0
                 continue
             fact = facts.get((a.headers[i], b.headers[j]))
-            name = _name_likeness(a, i, b, j, weight)
+            name = _name_likeness(a, i, b, j, weight, means)
             fit = _compatible(a, i, b, j, fact)
             value = fact["surplus"] if fact else 0.0
             if fact and not a.numeric[i] and max(fact["old_values"], fact["new_values"]) > 1 and fact["mean_length"] >= 2:
@@ -368,7 +374,7 @@ def flood(old: pd.DataFrame, new: pd.DataFrame, facts: dict[tuple[str, str], dic
     pa_, pb_ = (np.array([[p == o for o in objs] for p in x.parent], float).reshape(n, len(objs)) for x, objs, n in ((a, oa, na), (b, ob, nb)))
     obj0 = np.array([[1.0 if x == y else 0.5 if x.split(".")[-1] == y.split(".")[-1] else 0.1 for y in ob] for x in oa]).reshape(len(oa), len(ob))
     larger = lambda m, n, axis: np.maximum(np.maximum.outer(m.sum(axis), n.sum(axis)), 1.0)
-    tok0 = np.array([[token_likeness(x, y) for y in tb] for x in ta]).reshape(len(ta), len(tb))
+    tok0 = np.array([[token_likeness(x, y, means) for y in tb] for x in ta]).reshape(len(ta), len(tb))
     col, tok, kin, obj = start.copy(), tok0.copy(), np.eye(len(KINDS)), obj0.copy()
     for _ in range(rounds):
         to_col = 0.8 * (ma @ tok @ mb.T) / larger(ma, mb, 1) + 0.2 * (ka @ kin @ kb.T)
@@ -388,14 +394,14 @@ def flood(old: pd.DataFrame, new: pd.DataFrame, facts: dict[tuple[str, str], dic
 
 
 def renames(
-    old: pd.DataFrame, new: pd.DataFrame, facts: dict[tuple[str, str], dict], accept: float = 0.36
+    old: pd.DataFrame, new: pd.DataFrame, facts: dict[tuple[str, str], dict], accept: float = 0.36, same: Iterable[str] = SAME_MEANING
 ) -> list[tuple[str, str, float]]:
     """One-to-one correspondences of lost and gained headers: best settled score first, down to ``accept``."""
     lost = sorted(set(old["header"]) - set(new["header"]))
     gained = sorted(set(new["header"]) - set(old["header"]))
     if not lost or not gained:
         return []
-    score = flood(old, new, facts)
+    score = flood(old, new, facts, same=same)
     oi, nj = {h: i for i, h in enumerate(old["header"])}, {h: j for j, h in enumerate(new["header"])}
     ranked = sorted(((float(score[oi[x], nj[y]]), x, y) for x in lost for y in gained), key=lambda r: (-r[0], r[1], r[2]))
     used: set[tuple[int, str]] = set()
@@ -451,7 +457,8 @@ def value_facts(cell_rows: DataFrame, gone: DataFrame, came: DataFrame) -> DataF
     keys = ["family", "edition", "old", "new"]
     out = ot.join(nt, ["family", "edition"]).join(both, keys, "left").join(same, keys, "left").fillna(0)
     chance = F.try_divide(F.col("meet"), F.col("ot").cast("double") * F.col("nt"))
-    observed = F.when(F.col("shared") >= 5, F.col("equal") / F.col("shared"))
+    # Shrunk towards chance by five entities' worth, so that a few of them say little and there is no threshold.
+    observed = (F.col("equal") + 5 * chance) / (F.col("shared") + 5)
     surplus = F.when(chance < 0.99, (observed - chance) / (1 - chance))
     return out.select(
         *keys, "old_values", "new_values", "mean_length",
@@ -460,7 +467,7 @@ def value_facts(cell_rows: DataFrame, gone: DataFrame, came: DataFrame) -> DataF
     )
 
 
-def _compare(columns: pd.DataFrame, evidence: pd.DataFrame) -> pd.DataFrame:
+def _compare(columns: pd.DataFrame, evidence: pd.DataFrame, same: Iterable[str] = SAME_MEANING) -> pd.DataFrame:
     """The changes from one edition to the next of one family."""
     out: list[tuple] = []
     if len(columns):
@@ -468,7 +475,7 @@ def _compare(columns: pd.DataFrame, evidence: pd.DataFrame) -> pd.DataFrame:
         old = columns[columns["side"] == "old"].sort_values("header").reset_index(drop=True)
         new = columns[columns["side"] == "new"].sort_values("header").reset_index(drop=True)
         facts = {(r["old"], r["new"]): r for r in evidence.to_dict("records")}
-        pairs = renames(old, new, facts)
+        pairs = renames(old, new, facts, same=same)
         moved_old, moved_new = {p[0] for p in pairs}, {p[1] for p in pairs}
         out += [(family, edition, "renamed", x, y, s) for x, y, s in pairs]
         ho, hn = dict(zip(old["header"], old["usual"])), dict(zip(new["header"], new["usual"]))
@@ -478,13 +485,14 @@ def _compare(columns: pd.DataFrame, evidence: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(out, columns=["family", "edition", "change_kind", "old_field", "new_field", "score"])
 
 
-def schema_changes(cell_rows: DataFrame) -> DataFrame:
+def schema_changes(cell_rows: DataFrame, same: Iterable[str] = SAME_MEANING) -> DataFrame:
     """Changes of columns between successive editions of each family, from ``cells`` with the columns ``family``,
     ``edition`` (ordered as text) and ``entity``.
 
     change_kind is added (empty ``old_field``), removed (empty ``new_field``), renamed (with ``score``) or retyped (the
     usual JSON type changed; suppression codes don't count).  Columns whose cells are all codes have no type and are not
     retyped.  Rows without family or edition are left out.  The first edition has no changes; no rows give no changes.
+    ``same``: lines of words that mean the same in headers, evidence beside the letters of names and the values.
     """
     known = cell_rows.where("header is not null and family is not null and edition is not null")
     prof = profiles(known, ["family", "edition"]).withColumn("usual", usual_kind())
@@ -505,7 +513,7 @@ def schema_changes(cell_rows: DataFrame) -> DataFrame:
     came = new.join(old.select(*keys), keys, "left_anti").select("family", "edition", "before", "header")
     facts = value_facts(known, gone, came)
     both = old.unionByName(new)
-    return both.groupBy("family", "edition").cogroup(facts.groupBy("family", "edition")).applyInPandas(_compare, CHANGES)
+    return both.groupBy("family", "edition").cogroup(facts.groupBy("family", "edition")).applyInPandas(lambda c, e: _compare(c, e, same), CHANGES)
 
 
 def canonical_names(columns: Iterable[tuple[str, str, str]], changes: Iterable[tuple[str, str, str, str]]) -> dict[tuple[str, str, str], str]:
