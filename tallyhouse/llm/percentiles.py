@@ -3,8 +3,9 @@
 Equal values of a group are counted once; each group's distinct values are spread over blocks of bounded size, sorted.  Every
 round each block proposes the median of what is still active on either side of the current pivot, the weighted median of the
 proposals becomes the next pivot, values are counted three ways, and the ranges that can't hold the wanted rank are
-discarded, which takes a quarter of the distinct values at least.  Groups and shares run side by side until all are found,
-so the result is exact.  Summaries with a stated rank error can be kept of any part and merged later.
+discarded, which takes an eighth of the distinct values at least.  The proposals of a group meet in two steps, so that no task
+holds those of all its blocks, and every few rounds what is left of the blocks is written anew, so that discarded values are
+not read again.  Groups and shares run side by side until all are found, so the result is exact.  Summaries with a stated rank error can be kept of any part and merged later.
 """
 
 from __future__ import annotations
@@ -50,19 +51,24 @@ def blocks(values: DataFrame, groups: list[str], block_values: int = 4096) -> Da
     return spread.groupBy(*groups, "_block").agg(F.array_sort(F.collect_list(F.struct("v", "c"))).alias("xs"))
 
 
-def multi_select(values: DataFrame, groups: list[str], shares: dict[str, list[float]] | list[float], *, of: str | None = None, block_values: int = 4096) -> DataFrame:
+def multi_select(values: DataFrame, groups: list[str], shares: dict[str, list[float]] | list[float], *, of: str | None = None, block_values: int = 4096, rewrite: int = 4) -> DataFrame:
     """(``groups``, ``share``, ``n``, ``value``): the smallest value of a group with at least share * n values not above it.
 
     ``values`` has ``groups`` and ``value``.  ``shares`` are the same for all groups, or by the value of the column ``of``.
     Nulls and NaN don't count, nor do rows with a null in a group column; infinities are values.  Repeated rows are values
-    each.  A group without values has no row; an empty table gives none.
+    each.  A group without values has no row; an empty table gives none.  ``block_values`` and ``rewrite`` (rounds between two
+    writings of what is left) bound memory and reading and never change the result.
     """
     spark = values.sparkSession
-    blocked, blocked_path = stage(blocks(values, groups, block_values), "blocks")
-    sizes = blocked.groupBy(*groups).agg(
-        F.sum(F.aggregate("xs", F.lit(0).cast("long"), lambda acc, x: acc + x.c)).alias("n"),
-        F.collect_list(F.struct(_middle(F.col("xs")).v.alias("v"), F.size("xs").cast("long").alias("w"))).alias("_up"),
-    )
+    blocked, blocked_path = stage(blocks(values, groups, block_values).withColumn("_sub", F.floor(F.col("_block") / 1024)), "blocks")
+    total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda acc, e: acc + e.c)
+    propose = lambda a: F.when(F.size(a) > 0, F.struct(_middle(a).v.alias("v"), F.size(a).cast("long").alias("w")))
+    weight = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda acc, p: acc + p.w)
+    again = lambda c: F.when(F.size(c) > 0, F.struct(_weighted_median(F.col(c)).alias("v"), weight(F.col(c)).alias("w")))
+
+    # Median of block medians within a thousand blocks, then of those: two lists of bounded length.
+    sizes = blocked.groupBy(*groups, "_sub").agg(F.sum(total("xs")).alias("n"), F.collect_list(propose(F.col("xs"))).alias("_up"))
+    sizes = sizes.select(*groups, "n", again("_up").alias("_up")).groupBy(*groups).agg(F.sum("n").alias("n"), F.collect_list("_up").alias("_up"))
     as_array = lambda qs: F.array(*[F.lit(float(q)) for q in qs])
     if isinstance(shares, dict):
         wanted = F.lit(None)
@@ -80,24 +86,30 @@ def multi_select(values: DataFrame, groups: list[str], shares: dict[str, list[fl
         _weighted_median(F.col("_up")).alias("pivot"),
         F.lit(None).cast("double").alias("value"),
     )
-    state, path = stage(state, "state-0")
-    done, paths, turn = None, [path], 0
+    state, _ = stage(state, "state-0")
+    turn, keys = 0, list(groups)
     found: list[DataFrame] = []
     while not state.isEmpty():
         turn += 1
-        x = blocked.join(state.drop("value"), groups)
+        x = blocked.join(state.drop("value"), keys)
         below = F.filter("xs", lambda e: (F.col("lo").isNull() | (e.v > F.col("lo"))) & (e.v < F.col("pivot")))
         above = F.filter("xs", lambda e: (F.col("hi").isNull() | (e.v < F.col("hi"))) & (e.v > F.col("pivot")))
         at = F.filter("xs", lambda e: e.v == F.col("pivot"))
-        total = lambda a: F.aggregate(a, F.lit(0).cast("long"), lambda acc, e: acc + e.c)
-        x = x.select(*groups, "share", "n", "rank", "lo", "hi", "pivot", below.alias("_b"), above.alias("_a"), total(at).alias("_eq"))
-        propose = lambda a: F.when(F.size(a) > 0, F.struct(_middle(F.col(a)).v.alias("v"), F.size(a).cast("long").alias("w")))
-        x = x.groupBy(*groups, "share").agg(
-            *[F.first(c).alias(c) for c in ("n", "rank", "lo", "hi", "pivot")],
+        own = ("n", "rank", "lo", "hi", "pivot")
+        x = x.select(*groups, "share", "_sub", *own, below.alias("_b"), above.alias("_a"), total(at).alias("_eq"))
+        x = x.groupBy(*groups, "share", "_sub").agg(
+            *[F.first(c).alias(c) for c in own],
             F.sum(total(F.col("_b"))).alias("_lt"),
             F.sum("_eq").alias("_eq"),
-            F.collect_list(propose("_b")).alias("_low"),
-            F.collect_list(propose("_a")).alias("_high"),
+            F.collect_list(propose(F.col("_b"))).alias("_low"),
+            F.collect_list(propose(F.col("_a"))).alias("_high"),
+        )
+        x = x.select(*groups, "share", *own, "_lt", "_eq", again("_low").alias("_low"), again("_high").alias("_high")).groupBy(*groups, "share").agg(
+            *[F.first(c).alias(c) for c in own],
+            F.sum("_lt").alias("_lt"),
+            F.sum("_eq").alias("_eq"),
+            F.collect_list("_low").alias("_low"),
+            F.collect_list("_high").alias("_high"),
         )
         down, hit = F.col("rank") <= F.col("_lt"), F.col("rank") <= F.col("_lt") + F.col("_eq")
         new = x.select(
@@ -110,10 +122,16 @@ def multi_select(values: DataFrame, groups: list[str], shares: dict[str, list[fl
             F.when(down, _weighted_median(F.col("_low"))).otherwise(_weighted_median(F.col("_high"))).alias("pivot"),
             F.when(~down & hit, F.col("pivot")).alias("value"),
         )
-        made, path = stage(new, f"state-{turn}")
-        paths.append(path)
+        made, _ = stage(new, f"state-{turn}")
         found.append(made.where("value is not null").select(*groups, "share", "n", "value"))
         state = made.where("value is null")
+        if turn % rewrite == 0:
+            left = F.filter("xs", lambda e: (F.col("lo").isNull() | (e.v > F.col("lo"))) & (F.col("hi").isNull() | (e.v < F.col("hi"))))
+            kept = blocked.join(state.select(*groups, "share", "lo", "hi"), keys).withColumn("xs", left).where(F.size("xs") > 0)
+            keys = [*groups, "share"]
+            kept, kept_path = stage(kept.select(*keys, "_sub", "xs"), f"blocks-{turn}")
+            drop_staged(spark, blocked_path)
+            blocked, blocked_path = kept, kept_path
     drop_staged(spark, blocked_path)
     done = state.select(*groups, "share", "n", "value") if not found else found[0]
     for f in found[1:]:
