@@ -47,10 +47,10 @@ def one_text_each(sized: DataFrame) -> DataFrame:
     return first.select("d.doc_id", "d.source", "d.tokens")
 
 
-def plan_mixture(texts: DataFrame, targets: DataFrame, *, total: int | None = None, block: int = 1024) -> Plan:
+def plan_mixture(texts: DataFrame, targets: DataFrame, *, total: int | None = None, block: int = 512) -> Plan:
     """Totals per source against the targets.  ``texts``: doc_id, source, tokens; ``targets``: source, weight, max_repeats.
 
-    A block has at most ``block`` tokens, and there are 2,048 slots at least, so that the schedule can follow the shares.
+    A block has ``block`` tokens whatever the size of the corpus; the shares reached differ from the targets by a few blocks.
     Without ``total`` the mixture is as large as it can be with every source at its share.  With it, a source whose texts
     don't reach gives all it may.  Sources of no weight or no tokens take no part; weights of a source given twice add up
     and its smallest max_repeats holds.  The targets are a parameter table and are read to the driver, as are the totals
@@ -68,7 +68,6 @@ def plan_mixture(texts: DataFrame, targets: DataFrame, *, total: int | None = No
     share = {s: want[s][0] / whole for s in sources}
     feasible = min((have[s][0] * want[s][1] / share[s] for s in sources), default=0.0)
     size = int(feasible if total is None else total)
-    block = max(1, min(block, size // 2048))
     return Plan(
         sources, {s: want[s][0] for s in want}, share, {s: want[s][1] for s in want}, {s: have[s][0] for s in sources},
         {s: have[s][1] for s in sources}, size, block, size // block,
