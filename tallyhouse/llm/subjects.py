@@ -11,46 +11,39 @@ which calibrates it.  Beam search finds the best combination.
 from __future__ import annotations
 
 import re
-import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BITS = 16
-_BREAK = re.compile(r"</?(p|div|br|li|ul|h\d|tr|td)\b[^>]{0,200}>", re.I)
-_TAG = re.compile(r"<[^>]{0,200}>|&[a-z]+;|&#\d+;")
+from tallyhouse.session import staged
+
+_BREAK = re.compile(r"</?(p|div|br|li|ul|h\d|tr|td)\b[^<>]*>", re.I)
+_TAG = re.compile(r"</?[a-z!][^<>]*>|&[a-z]+;|&#\d+;", re.I)
 _WORD = re.compile(r"[^\W\d_]{2,}")
 _PARAGRAPH = re.compile(r"\n\s*\n")
 _SENTENCE = re.compile(r"(?<=[.!?;])\s+")
 _SPLIT_WORD = re.compile(r"(?<=[^\W\d_])-\n(?=[^\W\d_])")
-_HASHED: dict[str, int] = {}
-
 
-def _term(word: str) -> int:
-    h = _HASHED.get(word)
-    if h is None:
-        if len(_HASHED) > 500_000:
-            _HASHED.clear()
-        h = _HASHED[word] = zlib.crc32(word.encode()) & ((1 << BITS) - 1)
-    return h
 
-
-def terms(sentence: str) -> list[int]:
-    """Hashed words and pairs of neighbouring words of a sentence."""
+def terms(sentence: str, vocabulary: dict[str, int], grow: bool) -> list[int]:
+    """Numbers of the words and pairs of neighbouring words of a sentence; unknown ones are added or, without ``grow``, left out."""
     words = [w.lower() for w in _WORD.findall(sentence)]
-    return [_term(w) for w in words] + [_term(f"{a} {b}") for a, b in zip(words, words[1:])]
+    said = words + [f"{a} {b}" for a, b in zip(words, words[1:])]
+    if grow:
+        return [vocabulary.setdefault(t, len(vocabulary)) for t in said]
+    return [vocabulary[t] for t in said if t in vocabulary]
 
 
-def split(text: str | None) -> list[list[list[int]]]:
-    """Paragraphs of sentences of terms; sentences without words are left out, null and blank texts have none."""
+def split(text: str | None, vocabulary: dict[str, int], grow: bool = False) -> list[list[list[int]]]:
+    """Paragraphs of sentences of terms; sentences without known words are left out, null and blank texts have none."""
     out = []
     plain = _TAG.sub(" ", _BREAK.sub("\n\n", _SPLIT_WORD.sub("", text or "")))
     for p in _PARAGRAPH.split(plain):
-        sentences = [t for t in (terms(s) for s in _SENTENCE.split(p)) if t]
+        sentences = [t for t in (terms(s, vocabulary, grow) for s in _SENTENCE.split(p)) if t]
         if sentences:
             out.append(sentences)
     return out
@@ -59,27 +52,34 @@ def split(text: str | None) -> list[list[list[int]]]:
 class Texts:
     """Terms of many texts as flat arrays: term -> sentence -> paragraph -> document."""
 
-    def __init__(self, texts: list[str | None]) -> None:
+    def __init__(self, texts: list[str | None], vocabulary: dict[str, int], grow: bool = False) -> None:
         term: list[int] = []
         sent_of: list[int] = []
         par_of: list[int] = []
         doc_of: list[int] = []
         for d, text in enumerate(texts):
-            for p in split(text):
+            for p in split(text, vocabulary, grow):
                 doc_of.append(d)
                 for s in p:
                     sent_of += [len(par_of)] * len(s)
                     par_of.append(len(doc_of) - 1)
                     term += s
-        self.n = len(texts)
+        self.n, self.size = len(texts), len(vocabulary)
         self.term, self.sent_of = np.array(term, np.int64), np.array(sent_of, np.int64)
         self.par_of, self.doc_of = np.array(par_of, np.int64), np.array(doc_of, np.int64)
 
     def sums(self, table: np.ndarray, step: int = 200_000) -> np.ndarray:
-        """Sum of the rows of ``table`` over the terms of each sentence."""
+        """Sum of the rows of ``table`` over the terms of each sentence; terms lie in the order of their sentences."""
         out = np.zeros((len(self.par_of), table.shape[1]), np.float32)
-        for at in range(0, len(self.term), step):
-            np.add.at(out, self.sent_of[at : at + step], table[self.term[at : at + step]])
+        if not len(self.term):
+            return out
+        start = np.flatnonzero(np.diff(self.sent_of, prepend=-1))  # every sentence has a term
+        at = 0
+        while at < len(start):  # a bounded number of terms at once
+            stop = max(at + 1, int(np.searchsorted(start, start[at] + step, side="right")) - 1) if start[-1] > start[at] + step else len(start)
+            lo, hi = start[at], start[stop] if stop < len(start) else len(self.term)
+            out[at:stop] = np.add.reduceat(table[self.term[lo:hi]], start[at:stop] - lo, axis=0)
+            at = stop
         return out
 
 
@@ -89,15 +89,15 @@ def fit_terms(x: Texts, labels: np.ndarray, *, rounds: int = 12, smooth: float =
     par_of_term = x.par_of[x.sent_of]
     allowed = np.concatenate([labels, np.ones((x.n, 1), bool)], axis=1)[x.doc_of]
     q = allowed / allowed.sum(axis=1, keepdims=True)
-    size = 1 << BITS
+    size = x.size
     table = np.zeros((size, k), np.float32)
-    for _ in range(rounds):
+    for _ in range(rounds if len(q) else 0):
         counts = np.stack([np.bincount(x.term, weights=q[par_of_term, c], minlength=size) for c in range(k)], axis=1)
         base = counts.sum(axis=1, keepdims=True) / max(1.0, counts.sum())
         table = np.log((counts + smooth * size * base + 1e-3) / (counts.sum(axis=0) + smooth * size + 1e-3 * size)).astype(np.float32)
         prior = np.log(q.mean(axis=0) + 1e-9)
-        score = np.zeros((len(x.doc_of), k))
-        np.add.at(score, x.par_of, x.sums(table).astype(float))
+        # Sentences lie in the order of their paragraphs, and every paragraph has one.
+        score = np.add.reduceat(x.sums(table).astype(float), np.flatnonzero(np.diff(x.par_of, prepend=-1)), axis=0)
         score = np.where(allowed, score + prior, -np.inf)
         score -= score.max(axis=1, keepdims=True)
         q = np.exp(score)
@@ -158,10 +158,11 @@ def fit_logistic(x: np.ndarray, y: np.ndarray, l2: float = 1.0, rounds: int = 30
 
 @dataclass
 class SubjectModel:
-    """Everything needed to label texts; its size is that of the hashed term table."""
+    """Everything needed to label texts; its size is that of the words and pairs of words of the labelled texts."""
 
     subjects: list[str]  # in the order of the chain
     sources: list[str]
+    vocabulary: dict[str, int]
     table: np.ndarray
     weights: list[np.ndarray]  # intercept, 4 evidence, others' best evidence, layout, sources, earlier subjects
 
@@ -181,7 +182,7 @@ class SubjectModel:
 
     def decode(self, texts: list[str | None], source: list[str | None], beam: int = 12) -> tuple[np.ndarray, np.ndarray]:
         """(document x subject) of the best combination, and its probability."""
-        x = Texts(texts)
+        x = Texts(texts, self.vocabulary)
         best, layout = evidence(x, self.table)
         designs = self._design(best, layout, source)
         n, k = len(texts), len(self.subjects)
@@ -206,16 +207,16 @@ def fit(texts: list[str | None], source: list[str | None], labels: np.ndarray, s
     sources = sorted({s for s in source if s})
     n, k = labels.shape
     best, layout = np.zeros((n, k, 4)), np.zeros((n, 3))
+    folds = max(1, min(folds, n))  # a text is never scored by a model that saw it; one text alone by a model of none
     fold = np.arange(n) % folds
-    for f in range(folds if n >= 4 * folds else 0):
-        train, test = np.flatnonzero(fold != f), np.flatnonzero(fold == f)
-        table = fit_terms(Texts([texts[i] for i in train]), labels[train])
-        best[test], layout[test] = evidence(Texts([texts[i] for i in test]), table)
-    whole = Texts(texts)
-    table = fit_terms(whole, labels)
-    if n < 4 * folds:
-        best, layout = evidence(whole, table)
-    model = SubjectModel(subjects, sources, table, [])
+    for f in range(folds):
+        train, test = np.flatnonzero(fold != f) if folds > 1 else np.array([], int), np.flatnonzero(fold == f)
+        known: dict[str, int] = {}
+        table = fit_terms(Texts([texts[i] for i in train], known, grow=True), labels[train])
+        best[test], layout[test] = evidence(Texts([texts[i] for i in test], known), table)
+    known = {}
+    table = fit_terms(Texts(texts, known, grow=True), labels)
+    model = SubjectModel(subjects, sources, known, table, [])
     designs = model._design(best, layout, source)
     for j in range(k):
         x = np.concatenate([designs[j], labels[:, :j].astype(float)], axis=1)
@@ -224,8 +225,9 @@ def fit(texts: list[str | None], source: list[str | None], labels: np.ndarray, s
     return model
 
 
-def fit_from(documents: DataFrame, labelled: DataFrame, subjects: list[str], *, bound: int = 3000) -> SubjectModel:
-    """``fit`` on the labelled documents, or on ``bound`` of them, chosen by a hash of their ids, where there are more.
+def fit_from(documents: DataFrame, labelled: DataFrame, subjects: list[str], *, bound: int = 3000, most_chars: int = 30_000_000) -> SubjectModel:
+    """``fit`` on the labelled documents, or on ``bound`` of them, chosen by a hash of their ids, where there are more, and of
+    those on as many, in that order, as have ``most_chars`` characters together, so that what the driver holds is bounded.
 
     ``documents``: doc_id, text, source; ``labelled``: doc_id, subject.  Only labels of ``subjects`` count; a label given
     twice counts once.  Without any labelled document the model gives no subjects.
@@ -233,12 +235,16 @@ def fit_from(documents: DataFrame, labelled: DataFrame, subjects: list[str], *,
     ok = labelled.where(F.col("subject").isin(subjects) & F.col("doc_id").isNotNull())
     one = ok.groupBy("doc_id").agg(F.sort_array(F.collect_set("subject")).alias("subjects"))
     one = one.orderBy(F.xxhash64("doc_id"), "doc_id").limit(bound)
-    got = documents.join(F.broadcast(one), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").toPandas()
+    texts = staged(documents.join(F.broadcast(one), "doc_id").dropDuplicates(["doc_id"]), "labelled")
+    w = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, 0)  # ``bound`` rows at most
+    sizes = texts.select("doc_id", F.coalesce(F.length("text"), F.lit(0)).cast("long").alias("n")).withColumn("sum", F.sum("n").over(w))
+    fitting = [r.doc_id for r in sizes.where(F.col("sum") <= most_chars).collect()]
+    got = texts.where(F.col("doc_id").isin(fitting)).orderBy("doc_id").toPandas()
     labels = np.array([[s in set(r) for s in subjects] for r in got["subjects"]], bool).reshape(len(got), len(subjects))
     if not len(got):
         width = 1 + 4 + 1 + 3
         weights = [np.concatenate([[-30.0], np.zeros(width - 1 + j)]) for j in range(len(subjects))]
-        return SubjectModel(list(subjects), [], np.zeros((1 << BITS, len(subjects) + 1), np.float32), weights)
+        return SubjectModel(list(subjects), [], {}, np.zeros((0, len(subjects) + 1), np.float32), weights)
     return fit(got["text"].tolist(), got["source"].tolist(), labels, list(subjects))
 
 
