@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from tallyhouse.functions.clean import fold, postcode
 from tallyhouse.llm import bpe, linkage, mixing, percentiles, subjects, variants
+from tallyhouse.operators import joins
 from tallyhouse.plans.catalogue import Catalogue, table
 from tallyhouse.session import staged
 
@@ -150,23 +151,31 @@ def open_schools(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("outward", F.split_part("pc", F.lit(" "), F.lit(1)))
 
 
-def successors(spark: SparkSession, sf_dir: str) -> DataFrame:
+def successors(spark: SparkSession, sf_dir: str, hops: int = 4) -> DataFrame:
     """(former, urn): the open school that took the place of a former one.
 
     From the resolved list; for former schools it lacks, the one open school at the same postcode that opened between a
-    month before and 400 days after the former one closed.
+    month before and 400 days after the former one closed.  A former school with neither follows the one school, closed
+    since, that took its place so, and what took that one's, over at most ``hops`` links.
     """
-    listed = table(spark, sf_dir, "school_match").select(F.explode("former_urns").alias("former"), "urn")
-    shut = table(spark, sf_dir, "establishment").where(fold(F.col("status")) == "closed").select(
-        F.col("urn").alias("former"), postcode(F.col("postcode")).alias("pc"), "close_date"
-    )
-    now = open_schools(spark, sf_dir).select("urn", "pc", "open_date").distinct()
-    gap = F.datediff("open_date", "close_date")
-    placed = shut.join(now, "pc").where(gap.between(-31, 400)).groupBy("former").agg(
-        F.min("urn").alias("urn"), F.max("urn").alias("_other")
-    )
-    placed = placed.where(F.col("urn") == F.col("_other")).drop("_other").join(listed, "former", "left_anti")
-    return listed.where("former is not null and former <> urn").unionByName(placed).distinct()
+    est = table(spark, sf_dir, "establishment").where("urn is not null").select("urn", "status", postcode(F.col("postcode")).alias("pc"), "open_date", "close_date")
+    listed = table(spark, sf_dir, "school_match").select(F.explode("former_urns").alias("former"), "urn").where("former is not null and former <> urn")
+    shut = est.where(fold(F.col("status")) == "closed").select(F.col("urn").alias("former"), "pc", "close_date").distinct()
+    gap = F.datediff("open_date", "close_date").between(-31, 400)
+
+    def only(left: DataFrame, right: DataFrame) -> DataFrame:
+        hit = left.join(right.select("urn", "pc", "open_date").distinct(), "pc").where(gap & (F.col("urn") != F.col("former")))
+        one = hit.groupBy("former").agg(F.min("urn").alias("urn"), F.max("urn").alias("_other"))
+        return one.where(F.col("urn") == F.col("_other")).drop("_other")
+
+    now = est.where(fold(F.col("status")).startswith("open"))
+    direct = listed.unionByName(only(shut, now).join(listed, "former", "left_anti")).distinct()
+    direct = staged(direct, "successors")
+    left = shut.join(direct, "former", "left_anti")
+    steps = only(left, est.where(fold(F.col("status")) == "closed")).unionByName(direct)
+    far = joins.chains(steps, "former", "urn", hops).where("hops > 1").join(now.select(F.col("urn").alias("reached")).distinct(), "reached", "left_semi")
+    far = far.join(direct, far.start == direct.former, "left_anti").groupBy("start").agg(F.min_by("reached", F.struct("hops", "reached")).alias("urn"))
+    return direct.unionByName(far.withColumnRenamed("start", "former")).distinct()
 
 
 def known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -227,11 +236,9 @@ def association_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     known = known_names(spark, sf_dir).join(F.broadcast(las), "la_code", "left")
     tag = lambda kind, c: F.when(c.isNotNull() & (c != ""), F.concat(F.lit(f"{kind}|"), c))
     known = known.withColumn(
-        "blocks", F.array_compact(F.array(F.lit("all"), tag("o", F.col("outward")), tag("t", fold(F.col("place"))), tag("n", F.col("la_name"))))
-    ).withColumn("id", F.xxhash64("target", "name", "phase"))
-    known = staged(
-        known.withColumn("p", variants.parsed("name")).select("id", "target", "name", "phase", "place", "la_name", "blocks", "p.*").dropDuplicates(["id"]), "known"
-    )
+        "blocks", F.array_compact(F.array(tag("o", F.col("outward")), tag("t", fold(F.col("place"))), tag("n", F.col("la_name"))))
+    ).dropDuplicates(["target", "name", "phase"]).withColumn("id", F.monotonically_increasing_id())
+    known = staged(known.withColumn("p", variants.parsed("name")).select("id", "target", "name", "phase", "place", "la_name", "blocks", "p.*"), "known")
     weights = variants.word_weights(known)
 
     pta = table(spark, sf_dir, "pta").where("charity_number is not null")
@@ -257,13 +264,11 @@ def association_links(spark: SparkSession, sf_dir: str) -> DataFrame:
             F.array(tag("o", F.col("outward"))), F.transform("places", lambda p: F.concat(F.lit("t|"), p)), F.transform("places", lambda p: F.concat(F.lit("n|"), p)),
         ))),
     )
-    # An association that tells no place is compared with the names of all places.
-    ch = ch.withColumn("blocks", F.when(F.size("blocks") == 0, F.array(F.lit("all"))).otherwise(F.col("blocks")))
     ch = staged(ch.select(
         "id", "named", "core", "kinds", (F.col("plural") | F.col("two.plural")).alias("plural"), F.array_union("joined", "two.joined").alias("joined"), "letters", "pc", "outward", "web", "mail", "places", "blocks",
         F.col("a.core").alias("addr_core"), F.col("a.kinds").alias("addr_kinds"), F.col("a.grams").alias("addr_grams"),
         F.col("o.core").alias("obj_core"), F.col("o.kinds").alias("obj_kinds"), F.col("o.grams").alias("obj_grams"),
-        variants.grams_of("core").alias("name_grams"),
+        variants.grams_of("head").alias("name_grams"),
     ), "charities")
 
     # Each text of a charity is a set of its own; its id keeps the charity's in the upper part.
@@ -273,7 +278,15 @@ def association_links(spark: SparkSession, sf_dir: str) -> DataFrame:
     ]
     left = texts[0].unionByName(texts[1]).unionByName(texts[2])
     right = known.where(F.size("grams") > 0).select("id", F.explode("blocks").alias("block"), "grams")
-    by_name = variants.similar_sets(left, right, 0.25).select(F.floor(F.col("l") / 4).cast("long").alias("l"), "r")
+    by_name = variants.similar_sets(left, right, 0.18)
+    # Associations that tell no place are compared with the names of all places, but must share their rarest grams.
+    texts = [
+        ch.where(F.size("blocks") == 0).select((F.col("id") * 4 + i).alias("id"), F.lit("").alias("block"), F.col(g).alias("grams")).where(F.size("grams") > 0)
+        for i, g in enumerate(("name_grams", "addr_grams", "obj_grams"))
+    ]
+    anywhere = known.where(F.size("grams") > 0).select("id", F.lit("").alias("block"), "grams")
+    by_name = by_name.unionByName(variants.similar_sets(texts[0].unionByName(texts[1]).unionByName(texts[2]), anywhere, 0.4))
+    by_name = by_name.select(F.floor(F.col("l") / 4).cast("long").alias("l"), "r")
 
     now = staged(
         open_schools(spark, sf_dir).select("urn", "pc", "outward", host(F.col("website")).alias("site")).distinct(), "schools"

@@ -1,8 +1,9 @@
 """Variant spellings: a prefix-filtered set-similarity join on letter q-grams, verified by soft weighted word similarity.
 
-Both sides become sets of q-grams of their distinctive words.  With the q-grams ordered from rare to frequent over all data,
-two sets of Jaccard similarity t or more share one among the first |x| - ceil(t |x|) + 1 of either, so only those are joined,
-inside a block (a place) where there is one.  Survivors are compared word by word; rare words weigh more.
+Both sides become sets of q-grams of their distinctive words.  A q-gram weighs the square of the log of how rare it is among
+the known names, nothing if none has it.  With the q-grams ordered from rare to frequent, two sets of weighted Jaccard
+similarity t or more share one among the first of either, as far as the rest weighs t of the whole or more, so only those
+are joined, inside a block (a place) where there is one.  Survivors are compared word by word; rare words weigh more.
 """
 
 from __future__ import annotations
@@ -14,7 +15,7 @@ import pandas as pd
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, StringType, StructField, StructType
+from pyspark.sql.types import ArrayType, BooleanType, DoubleType, StringType, StructField, StructType
 
 from tallyhouse.llm import names
 from tallyhouse.session import staged
@@ -72,44 +73,72 @@ def large_join(a: DataFrame, b: DataFrame, on: str | list[str], how: str = "inne
     return a.join(b.hint("merge"), on, how)
 
 
-def _prefix(shared: Broadcast, threshold: float):  # noqa: ANN202
-    def first(grams: pd.Series) -> pd.Series:
+#: Rare q-grams of a set, and the weight of the whole set.
+PREFIX = StructType([StructField("first", WORDS), StructField("weight", DoubleType())])
+
+
+def gram_weight(df: int, n: int) -> float:
+    """Of a q-gram that ``df`` of ``n`` known names have."""
+    return math.log1p(n / df) ** 2 if df else 0.0
+
+
+def _prefix(shared: Broadcast, n: int, threshold: float):  # noqa: ANN202
+    def first(grams: pd.Series) -> pd.DataFrame:
         out, counts = [], shared.value
         for g in grams:
-            x = sorted(g, key=lambda t: (counts.get(t, 0), t)) if g is not None else []
-            out.append(x[: len(x) - math.ceil(threshold * len(x) - 1e-9) + 1] if len(x) else [])
-        return pd.Series(out)
+            x = sorted((counts[t], t) for t in g if t in counts) if g is not None else []
+            weights = [gram_weight(df, n) for df, _ in x]
+            whole = rest = sum(weights)
+            kept = []
+            for (_, t), w in zip(x, weights):
+                if rest < threshold * whole - 1e-9:
+                    break
+                kept.append(t)
+                rest -= w
+            out.append((kept, whole))
+        return pd.DataFrame(out, columns=["first", "weight"])
+
+    return F.pandas_udf(first, PREFIX)
+
+
+def _similar(shared: Broadcast, n: int, threshold: float):  # noqa: ANN202
+    def alike(a: pd.Series, b: pd.Series, whole: pd.Series) -> pd.Series:
+        counts, out = shared.value, []
+        for x, y, w in zip(a, b, whole):
+            common = sum(gram_weight(counts[t], n) for t in set(x).intersection(y) if t in counts)
+            out.append(common >= threshold * (w - common) - 1e-9)
+        return pd.Series(out, dtype=bool)
 
-    return F.pandas_udf(first, WORDS)
+    return F.pandas_udf(alike, BooleanType())
 
 
 def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
-    """(l, r): all pairs of one block whose gram sets have a Jaccard similarity of ``threshold`` or more.
+    """(l, r): all pairs of one block whose gram sets have a weighted Jaccard similarity of ``threshold`` or more.
 
-    Both sides: ``id``, ``block``, ``grams`` (a set).  Rows without block or grams pair with nothing; a row may come with
-    several blocks.  No pair is lost and none is capped.
+    Both sides: ``id``, ``block``, ``grams`` (a set); the right one holds the known names, whose q-grams give the weights.
+    Rows without block or grams pair with nothing; a row may come with several blocks.  No pair is lost and none is capped.
+    A (block, q-gram) that holds a large part of the rows is split by the adaptive skew join, which the merge join allows.
     """
-    counted = left.select(F.explode("grams").alias("g")).unionAll(right.select(F.explode("grams").alias("g")))
-    counts = {r.g: r.n for r in counted.groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    one = right.select("id", "grams").dropDuplicates(["id"])
+    counts = {r.g: r.n for r in one.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) > ALPHABET**3:
         raise ValueError("grams must be 3-grams over letters")
-    first = _prefix(left.sparkSession.sparkContext.broadcast(counts), threshold)
+    n, shared = one.count(), left.sparkSession.sparkContext.broadcast(counts)
+    first, alike = _prefix(shared, n, threshold), _similar(shared, n, threshold)
 
     def side(d: DataFrame, name: str) -> DataFrame:
         # Block and gram as one number: half the bytes to shuffle; a chance meeting of two is undone by the check below.
-        d = d.where(F.col("block").isNotNull()).select(
-            F.col("id").alias(name), "block", F.size("grams").alias(f"{name}_n"), F.explode(first("grams")).alias("g")
-        )
-        return d.select(name, f"{name}_n", F.xxhash64("block", "g").alias("key"))
+        d = d.where(F.col("block").isNotNull()).withColumn("p", first("grams"))
+        d = d.select(F.col("id").alias(name), "block", F.col("p.weight").alias(f"{name}_w"), F.explode("p.first").alias("g"))
+        return d.select(name, f"{name}_w", F.xxhash64("block", "g").alias("key"))
 
     a, b = side(left, "l"), side(right, "r")
-    near = (F.col("r_n") >= F.col("l_n") * threshold) & (F.col("l_n") >= F.col("r_n") * threshold)
-    pairs = large_join(a, b, "key").where(near).select("l", "r").distinct()
+    near = (F.col("r_w") >= F.col("l_w") * threshold - 1e-9) & (F.col("l_w") >= F.col("r_w") * threshold - 1e-9)
+    pairs = large_join(a, b, "key").where(near).groupBy("l", "r").agg(F.first(F.col("l_w") + F.col("r_w")).alias("whole"))
     la = left.select(F.col("id").alias("l"), F.col("grams").alias("lg")).dropDuplicates(["l"])
-    rb = right.select(F.col("id").alias("r"), F.col("grams").alias("rg")).dropDuplicates(["r"])
+    rb = one.select(F.col("id").alias("r"), F.col("grams").alias("rg"))
     both = large_join(large_join(pairs, la, "l"), rb, "r")
-    common = F.size(F.array_intersect("lg", "rg"))
-    return both.where(common >= (F.size("lg") + F.size("rg") - common) * threshold).select("l", "r")
+    return both.where(alike("lg", "rg", "whole")).select("l", "r")
 
 
 SCORED = "l long, r long, core_score double, kind_score double"
@@ -136,7 +165,7 @@ def place_words(text: pd.Series) -> pd.Series:
 
 
 def link_variants(
-    typed: DataFrame, known: DataFrame, *, threshold: float = 0.14, accept: float = 0.47, margin: float = 0.02
+    typed: DataFrame, known: DataFrame, *, threshold: float = 0.12, accept: float = 0.47, margin: float = 0.02
 ) -> DataFrame:
     """(id, target, score, second): for each typed name the entity it means, where one is clear.
 
@@ -146,17 +175,19 @@ def link_variants(
     or more and no other entity comes closer than ``margin``.
 
     Null, empty or word-less names link to nothing, nor do rows without a block.  Repeated known rows count once.  Typed
-    names that read alike in the same blocks and phase are compared once.  Empty tables give no links.
+    names written alike, letter for letter, in the same blocks and phase are compared once.  Empty tables give no links.
     """
     k = known.where(F.col("target").isNotNull() & F.col("name").isNotNull()).select("target", "name", "phase", "place", "blocks").distinct()
-    k = k.withColumn("id", F.xxhash64("target", "name", "phase", "place", "blocks")).withColumn("p", parsed("name"))
+    # Numbers given once, when the table is written: unlike hashes, no two names can share one.
+    k = k.withColumn("id", F.monotonically_increasing_id()).withColumn("p", parsed("name"))
     k = staged(k.select("id", "target", "phase", "place", "blocks", "p.*").where(F.size("core") > 0), "known")
     k = staged(large_join(k, word_weights(k), "id"), "weighed")
-    t = typed.where(F.col("name").isNotNull()).withColumn("key", F.xxhash64(F.lower(F.trim("name")), "phase", "blocks"))
-    one = t.groupBy("key").agg(F.first("name").alias("name"), F.first("phase").alias("phase"), F.first("blocks").alias("blocks"))
+    same = ["name", "phase", "blocks"]
+    t = typed.where(F.col("name").isNotNull()).select("id", *same)
+    spelt = staged(t.select(*same).distinct().withColumn("key", F.monotonically_increasing_id()), "spellings")
     block_place = k.where("place is not null").select(F.explode("blocks").alias("block"), "place").groupBy("block").agg(F.mode("place", True).alias("place"))
-    places = one.select("key", F.explode("blocks").alias("block")).join(block_place, "block").groupBy("key").agg(F.max("place").alias("place"))
-    one = staged(large_join(one, places, "key", "left").withColumn("p", parsed_at("name", "place")).select(F.col("key").alias("id"), "phase", "blocks", "p.*").where(F.size("core") > 0), "typed")
+    places = spelt.select("key", F.explode("blocks").alias("block")).join(block_place, "block").groupBy("key").agg(F.max("place").alias("place"))
+    one = staged(large_join(spelt, places, "key", "left").withColumn("p", parsed_at("name", "place")).select(F.col("key").alias("id"), "phase", "blocks", "p.*").where(F.size("core") > 0), "typed")
     flat = lambda d: d.select("id", F.explode("blocks").alias("block"), "grams")
     pairs = staged(similar_sets(flat(one), flat(k), threshold), "pairs")
     a = one.select(F.col("id").alias("l"), F.col("core").alias("a_core"), F.col("kinds").alias("a_kinds"), F.col("phase").alias("a_phase"))
@@ -169,7 +200,12 @@ def link_variants(
     by_target = large_join(scored, b.select("r", "target"), "r").groupBy("l", "target").agg(F.max(total).alias("score"))
     best = _two_best(by_target)
     sure = (F.col("score") >= accept) & (F.coalesce(F.col("second"), F.lit(0.0)) <= F.col("score") - margin)
-    return large_join(t.select("id", "key"), best.where(sure).withColumnRenamed("l", "key"), "key").select("id", "target", "score", "second")
+    told = large_join(spelt, best.where(sure).withColumnRenamed("l", "key"), "key").drop("key").withColumn("_h", F.xxhash64(*same))
+    # The hash finds the spelling, the columns themselves decide; nulls are alike.
+    meant = large_join(t.withColumn("_h", F.xxhash64(*same)), told.select("_h", *[F.col(c).alias(f"_{c}") for c in same], "target", "score", "second"), "_h")
+    for c in same:
+        meant = meant.where(F.col(c).eqNullSafe(F.col(f"_{c}")))
+    return meant.select("id", "target", "score", "second")
 
 
 def _two_best(by_target: DataFrame) -> DataFrame:
