@@ -151,7 +151,7 @@ def open_schools(spark: SparkSession, sf_dir: str) -> DataFrame:
     ).withColumn("outward", F.split_part("pc", F.lit(" "), F.lit(1)))
 
 
-def successors(spark: SparkSession, sf_dir: str, hops: int = 4) -> DataFrame:
+def successors(spark: SparkSession, sf_dir: str, hops: int = 3) -> DataFrame:
     """(former, urn): the open school that took the place of a former one.
 
     From the resolved list; for former schools it lacks, the one open school at the same postcode that opened between a
@@ -170,12 +170,12 @@ def successors(spark: SparkSession, sf_dir: str, hops: int = 4) -> DataFrame:
 
     now = est.where(fold(F.col("status")).startswith("open"))
     direct = listed.unionByName(only(shut, now).join(listed, "former", "left_anti")).distinct()
-    direct = staged(direct, "successors")
+    direct = staged(direct, "direct")
     left = shut.join(direct, "former", "left_anti")
-    steps = only(left, est.where(fold(F.col("status")) == "closed")).unionByName(direct)
+    steps = staged(only(left, est.where(fold(F.col("status")) == "closed")).unionByName(direct), "steps")
     far = joins.chains(steps, "former", "urn", hops).where("hops > 1").join(now.select(F.col("urn").alias("reached")).distinct(), "reached", "left_semi")
     far = far.join(direct, far.start == direct.former, "left_anti").groupBy("start").agg(F.min_by("reached", F.struct("hops", "reached")).alias("urn"))
-    return direct.unionByName(far.withColumnRenamed("start", "former")).distinct()
+    return staged(direct.unionByName(far.withColumnRenamed("start", "former")).distinct(), "successors")
 
 
 def known_names(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -271,22 +271,13 @@ def association_links(spark: SparkSession, sf_dir: str) -> DataFrame:
         variants.grams_of("head").alias("name_grams"),
     ), "charities")
 
-    # Each text of a charity is a set of its own; its id keeps the charity's in the upper part.
-    texts = [
-        ch.select((F.col("id") * 4 + i).alias("id"), F.explode("blocks").alias("block"), F.col(g).alias("grams")).where(F.size("grams") > 0)
-        for i, g in enumerate(("name_grams", "addr_grams", "obj_grams"))
-    ]
-    left = texts[0].unionByName(texts[1]).unionByName(texts[2])
-    right = known.where(F.size("grams") > 0).select("id", F.explode("blocks").alias("block"), "grams")
-    by_name = variants.similar_sets(left, right, 0.18)
-    # Associations that tell no place are compared with the names of all places, but must share their rarest grams.
-    texts = [
-        ch.where(F.size("blocks") == 0).select((F.col("id") * 4 + i).alias("id"), F.lit("").alias("block"), F.col(g).alias("grams")).where(F.size("grams") > 0)
-        for i, g in enumerate(("name_grams", "addr_grams", "obj_grams"))
-    ]
-    anywhere = known.where(F.size("grams") > 0).select("id", F.lit("").alias("block"), "grams")
-    by_name = by_name.unionByName(variants.similar_sets(texts[0].unionByName(texts[1]).unionByName(texts[2]), anywhere, 0.4))
-    by_name = by_name.select(F.floor(F.col("l") / 4).cast("long").alias("l"), "r")
+    # Each text of a charity is a set of its own; its id keeps the charity's in the upper part.  Associations that tell no
+    # place are compared with the names of all places, but must share their rarest grams.
+    somewhere = F.when(F.size("blocks") > 0, F.col("blocks")).otherwise(F.array(F.lit("")))
+    texts = F.array(*[F.struct((F.col("id") * 4 + i).alias("id"), F.col(g).alias("grams")) for i, g in enumerate(("name_grams", "addr_grams", "obj_grams"))])
+    left = ch.select(somewhere.alias("blocks"), F.inline(texts)).where(F.size("grams") > 0)
+    right = known.where(F.size("grams") > 0).select("id", F.concat("blocks", F.array(F.lit(""))).alias("blocks"), "grams")
+    by_name = variants.similar_sets(left, right, 0.18, stricter={"": 0.4}).select(F.floor(F.col("l") / 4).cast("long").alias("l"), "r")
 
     now = staged(
         open_schools(spark, sf_dir).select("urn", "pc", "outward", host(F.col("website")).alias("site")).distinct(), "schools"

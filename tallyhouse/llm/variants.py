@@ -9,7 +9,7 @@ are joined, inside a block (a place) where there is one.  Survivors are compared
 from __future__ import annotations
 
 import math
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark import Broadcast
@@ -82,18 +82,25 @@ def gram_weight(df: int, n: int) -> float:
     return math.log1p(n / df) ** 2 if df else 0.0
 
 
-def _prefix(shared: Broadcast, n: int, threshold: float):  # noqa: ANN202
-    def first(grams: pd.Series) -> pd.DataFrame:
+def even_weight(df: int, n: int) -> float:
+    """All q-grams alike: the similarity is the plain Jaccard index."""
+    return 1.0
+
+
+def _prefix(shared: Broadcast, n: int, weigh: Callable[[int, int], float]):  # noqa: ANN202
+    def first(grams: pd.Series, threshold: pd.Series) -> pd.DataFrame:
         out, counts = [], shared.value
-        for g in grams:
-            x = sorted((counts[t], t) for t in g if t in counts) if g is not None else []
-            weights = [gram_weight(df, n) for df, _ in x]
-            whole = rest = sum(weights)
+        for g, t in zip(grams, threshold):
+            x = sorted((counts[w], w) for w in g if w in counts) if g is not None else []
+            weights = [weigh(df, n) for df, _ in x]
+            # Those that no known name has are the rarest and come first, but lead nowhere.
+            rest = sum(weights)
+            whole = rest + weigh(0, n) * ((len(g) if g is not None else 0) - len(x))
             kept = []
-            for (_, t), w in zip(x, weights):
-                if rest < threshold * whole - 1e-9:
+            for (_, gram), w in zip(x, weights):
+                if rest < t * whole - 1e-9:
                     break
-                kept.append(t)
+                kept.append(gram)
                 rest -= w
             out.append((kept, whole))
         return pd.DataFrame(out, columns=["first", "weight"])
@@ -101,44 +108,49 @@ def _prefix(shared: Broadcast, n: int, threshold: float):  # noqa: ANN202
     return F.pandas_udf(first, PREFIX)
 
 
-def _similar(shared: Broadcast, n: int, threshold: float):  # noqa: ANN202
-    def alike(a: pd.Series, b: pd.Series, whole: pd.Series) -> pd.Series:
+def _similar(shared: Broadcast, n: int, weigh: Callable[[int, int], float]):  # noqa: ANN202
+    def alike(a: pd.Series, b: pd.Series, whole: pd.Series, threshold: pd.Series) -> pd.Series:
         counts, out = shared.value, []
-        for x, y, w in zip(a, b, whole):
-            common = sum(gram_weight(counts[t], n) for t in set(x).intersection(y) if t in counts)
-            out.append(common >= threshold * (w - common) - 1e-9)
+        for x, y, w, t in zip(a, b, whole, threshold):
+            common = sum(weigh(counts[g], n) for g in set(x).intersection(y) if g in counts)
+            out.append(common >= t * (w - common) - 1e-9)
         return pd.Series(out, dtype=bool)
 
     return F.pandas_udf(alike, BooleanType())
 
 
-def similar_sets(left: DataFrame, right: DataFrame, threshold: float) -> DataFrame:
+def similar_sets(
+    left: DataFrame, right: DataFrame, threshold: float, weigh: Callable[[int, int], float] = gram_weight, *, stricter: dict[str, float] | None = None
+) -> DataFrame:
     """(l, r): all pairs of one block whose gram sets have a weighted Jaccard similarity of ``threshold`` or more.
 
-    Both sides: ``id``, ``block``, ``grams`` (a set); the right one holds the known names, whose q-grams give the weights.
-    Rows without block or grams pair with nothing; a row may come with several blocks.  No pair is lost and none is capped.
-    A (block, q-gram) that holds a large part of the rows is split by the adaptive skew join, which the merge join allows.
+    Both sides: ``id`` (unique), ``blocks`` (an array) or ``block``, ``grams`` (a set); the right one holds the known names,
+    whose q-grams give the weights (``weigh``: of how many of how many names have one).  ``stricter`` names blocks with a
+    threshold of their own.  Rows without block or grams pair with nothing.  No pair is lost and none is capped.  A (block,
+    q-gram) that holds a large part of the rows is split by the adaptive skew join, which the merge join allows.
     """
-    one = right.select("id", "grams").dropDuplicates(["id"])
-    counts = {r.g: r.n for r in one.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
+    counts = {r.g: r.n for r in right.select(F.explode("grams").alias("g")).groupBy("g").agg(F.count(F.lit(1)).alias("n")).collect()}
     if len(counts) > ALPHABET**3:
         raise ValueError("grams must be 3-grams over letters")
-    n, shared = one.count(), left.sparkSession.sparkContext.broadcast(counts)
-    first, alike = _prefix(shared, n, threshold), _similar(shared, n, threshold)
+    n, shared = right.count(), left.sparkSession.sparkContext.broadcast(counts)
+    first, alike = _prefix(shared, n, weigh), _similar(shared, n, weigh)
+    t = F.lit(float(threshold))
+    for block, own in (stricter or {}).items():
+        t = F.when(F.col("block") == block, F.lit(float(own))).otherwise(t)
 
     def side(d: DataFrame, name: str) -> DataFrame:
         # Block and gram as one number: half the bytes to shuffle; a chance meeting of two is undone by the check below.
-        d = d.where(F.col("block").isNotNull()).withColumn("p", first("grams"))
-        d = d.select(F.col("id").alias(name), "block", F.col("p.weight").alias(f"{name}_w"), F.explode("p.first").alias("g"))
-        return d.select(name, f"{name}_w", F.xxhash64("block", "g").alias("key"))
-
-    a, b = side(left, "l"), side(right, "r")
-    near = (F.col("r_w") >= F.col("l_w") * threshold - 1e-9) & (F.col("l_w") >= F.col("r_w") * threshold - 1e-9)
-    pairs = large_join(a, b, "key").where(near).groupBy("l", "r").agg(F.first(F.col("l_w") + F.col("r_w")).alias("whole"))
-    la = left.select(F.col("id").alias("l"), F.col("grams").alias("lg")).dropDuplicates(["l"])
-    rb = one.select(F.col("id").alias("r"), F.col("grams").alias("rg"))
+        blocks = F.col("blocks") if "blocks" in d.columns else F.array("block")
+        d = d.select(F.col("id").alias(name), F.explode(blocks).alias("block"), "grams").where(F.col("block").isNotNull())
+        d = d.withColumn("t", t).withColumn("p", first("grams", "t"))
+        return d.select(name, "t", F.col("p.weight").alias(f"{name}_w"), F.col("block"), F.explode("p.first").alias("g")).select(name, "t", f"{name}_w", F.xxhash64("block", "g").alias("key"))
+
+    a, b = side(left, "l"), side(right, "r").drop("t")
+    near = (F.col("r_w") >= F.col("l_w") * F.col("t") - 1e-9) & (F.col("l_w") >= F.col("r_w") * F.col("t") - 1e-9)
+    pairs = large_join(a, b, "key").where(near).groupBy("l", "r").agg(F.first(F.col("l_w") + F.col("r_w")).alias("whole"), F.min("t").alias("t"))
+    la, rb = left.select(F.col("id").alias("l"), F.col("grams").alias("lg")), right.select(F.col("id").alias("r"), F.col("grams").alias("rg"))
     both = large_join(large_join(pairs, la, "l"), rb, "r")
-    return both.where(alike("lg", "rg", "whole")).select("l", "r")
+    return both.where(alike("lg", "rg", "whole", "t")).select("l", "r")
 
 
 SCORED = "l long, r long, core_score double, kind_score double"
@@ -188,8 +200,8 @@ def link_variants(
     block_place = k.where("place is not null").select(F.explode("blocks").alias("block"), "place").groupBy("block").agg(F.mode("place", True).alias("place"))
     places = spelt.select("key", F.explode("blocks").alias("block")).join(block_place, "block").groupBy("key").agg(F.max("place").alias("place"))
     one = staged(large_join(spelt, places, "key", "left").withColumn("p", parsed_at("name", "place")).select(F.col("key").alias("id"), "phase", "blocks", "p.*").where(F.size("core") > 0), "typed")
-    flat = lambda d: d.select("id", F.explode("blocks").alias("block"), "grams")
-    pairs = staged(similar_sets(flat(one), flat(k), threshold), "pairs")
+    sets = lambda d: d.select("id", "blocks", "grams")
+    pairs = staged(similar_sets(sets(one), sets(k), threshold), "pairs")
     a = one.select(F.col("id").alias("l"), F.col("core").alias("a_core"), F.col("kinds").alias("a_kinds"), F.col("phase").alias("a_phase"))
     b = k.select(
         F.col("id").alias("r"), "target", F.col("core").alias("b_core"), F.col("kinds").alias("b_kinds"), F.col("phase").alias("b_phase"),
