@@ -89,3 +89,115 @@ def label_of_month(period_end: Column, first_month: Column) -> Column:
 def ratio(part: Column, whole: Column, scale: float = 100.0, digits: int = 2) -> Column:
     """part / whole, null where either is missing or the whole is 0."""
     return F.round(F.try_divide(part * scale, whole), digits)
+
+
+def half_even(c: Column, digits: int = 0) -> Column:
+    return F.bround(c, digits)
+
+
+def half_away(c: Column, digits: int = 0) -> Column:
+    return F.round(c, digits)
+
+
+def half_up(c: Column) -> Column:
+    """To whole numbers, halves towards plus infinity."""
+    return F.floor(c + 0.5)
+
+
+def dotted(doc: Column, path: str, kind: str = "string") -> Column:
+    """A value inside a JSON text by its dotted path; null where the text can't be read or holds nothing there."""
+    return F.try_variant_get(F.try_parse_json(doc), "$." + path, kind)
+
+
+def web_address(c: Column) -> Column:
+    """A web address with scheme, lower-case host and no slash at the end; null for texts that hold no host."""
+    t = F.trim(c)
+    bare = F.regexp_replace(t, "(?i)^[a-z]+://", "")
+    name = F.lower(F.regexp_extract(bare, "^([^/?#]+)", 1))
+    rest = F.regexp_replace(F.regexp_replace(bare, "^[^/?#]+", ""), "/+$", "")
+    scheme = F.when(t.rlike("(?i)^https://"), "https://").when(t.rlike("(?i)^http://"), "http://").otherwise("https://")
+    return F.when(name.rlike(r"^[a-z0-9-]+(\.[a-z0-9-]+)+$"), F.concat(scheme, name, rest))
+
+
+def host_entitled(host: Column, domains: list[str]) -> Column:
+    """Whether a host is one of the domains or lies under one; null is not."""
+    h = F.lower(host)
+    hit = F.lit(False)
+    for d in domains:
+        hit = hit | (h == d) | h.endswith(f".{d}")
+    return F.coalesce(hit, F.lit(False))
+
+
+def first_json(text: Column) -> Column:
+    """The first JSON object without nested ones inside a text, as text; null where none can be read."""
+    found = F.regexp_extract(text, r"(?s)(\{[^{}]*\})", 1)
+    return F.when(F.try_parse_json(F.nullif(found, F.lit(""))).isNotNull(), found)
+
+
+def share_or_null(c: Column) -> Column:
+    """A confidence: a finite number from 0 to 1, else null."""
+    return F.when(c.between(0.0, 1.0), c)
+
+
+def id_or_code(c: Column, codes: dict[str, str]) -> Column:
+    """Struct (category, lead) of one messy column: a code of a small vocabulary, or a number of five to seven digits."""
+    t = F.upper(F.trim(c))
+    category = F.lit(None).cast("string")
+    for code, name in codes.items():
+        category = F.when(t == code, F.lit(name)).otherwise(category)
+    lead = F.when(t.rlike(r"^\d{5,7}$"), t)
+    return F.struct(F.when(lead.isNotNull(), F.lit("member")).otherwise(category).alias("category"), lead.alias("lead"))
+
+
+def without_suffix(c: Column, suffixes: list[str]) -> Column:
+    """A name without the first of the suffixes it ends in, in any case."""
+    return F.trim(F.regexp_replace(c, r"(?i)[\s,]+(" + "|".join(suffixes) + r")\s*$", ""))
+
+
+def dated_band(d: Column, starts: dict[str, str], before: str) -> Column:
+    """The name of the band that a date lies in: the last of ``starts`` (name -> first day) that has begun."""
+    out = F.lit(before)
+    for name, start in sorted(starts.items(), key=lambda x: x[1]):
+        out = F.when(d >= F.lit(start).cast("date"), F.lit(name)).otherwise(out)
+    return F.when(d.isNotNull(), out)
+
+
+def working_day(d: Column) -> Column:
+    """A date, or the Monday after it where it is a Saturday or Sunday."""
+    return F.when(F.dayofweek(d) == 7, F.date_add(d, 2)).when(F.dayofweek(d) == 1, F.date_add(d, 1)).otherwise(d)
+
+
+def entry_year(birth: Column, age: int, first_month: int = 9) -> Column:
+    """The year in which a child of a birth date starts the school year after turning ``age``."""
+    return F.year(birth) + age + F.when(F.month(birth) >= first_month, 1).otherwise(0)
+
+
+def odds_words(p: Column) -> Column:
+    """A chance in words."""
+    return (
+        F.when(p >= 0.95, "almost certain").when(p >= 0.75, "likely").when(p >= 0.5, "more likely than not").when(p >= 0.25, "possible")
+        .when(p > 0.05, "unlikely").when(p.isNotNull(), "very unlikely")
+    )
+
+
+def nice_step(top: Column, steps: int = 5) -> Column:
+    """A step of 1, 2 or 5 times a power of ten that divides an axis up to ``top`` into at most ``steps`` parts."""
+    raw = top / steps
+    power = F.pow(F.lit(10.0), F.floor(F.log10(raw)))
+    m = raw / power
+    return power * F.when(m <= 1, 1.0).when(m <= 2, 2.0).when(m <= 5, 5.0).otherwise(10.0)
+
+
+def without_empty(m: Column) -> Column:
+    """A map without null values; null where nothing stays."""
+    kept = F.map_filter(m, lambda _, v: v.isNotNull())
+    return F.when(F.size(kept) > 0, kept)
+
+
+def code_between(c: Column, ranges: list[tuple[int, int]]) -> Column:
+    """Whether a code is a whole number inside one of the ranges; anything else is not."""
+    n = F.when(F.trim(c).rlike(r"^\d+$"), F.trim(c).try_cast("int"))
+    hit = F.lit(False)
+    for lo, hi in ranges:
+        hit = hit | n.between(lo, hi)
+    return F.coalesce(hit, F.lit(False))

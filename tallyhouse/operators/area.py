@@ -99,3 +99,59 @@ def majority(df: DataFrame, keys: list[str], value: str, out: str = "mode") -> D
     counts = df.where(F.col(value).isNotNull()).groupBy(*keys, value).agg(F.count(F.lit(1)).alias("_n"))
     w = Window.partitionBy(*keys).orderBy(F.col("_n").desc(), F.col(value))
     return counts.withColumn("_r", F.row_number().over(w)).where("_r = 1").select(*keys, F.col(value).alias(out), F.col("_n").alias("votes"))
+
+
+def place_index(df: DataFrame, keys: list[str], lat: str, lon: str, code: str, counted: dict[str, Column], pad: float = 0.01) -> DataFrame:
+    """Index of areas: rows, conditional counts, padded bounding box, middle of the points, distinct codes in order.
+
+    Rows without a position count but play no part in box and middle."""
+    return df.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("rows"), *[F.count_if(c).alias(n) for n, c in counted.items()],
+        (F.min(lat) - pad).alias("south"), (F.max(lat) + pad).alias("north"), (F.min(lon) - pad).alias("west"), (F.max(lon) + pad).alias("east"),
+        F.avg(lat).alias("lat"), F.avg(lon).alias("lon"), F.array_sort(F.collect_set(code)).alias("codes"),
+    )
+
+
+def major_groups(df: DataFrame, groups: dict[str, list[str]], base: str | None = None) -> DataFrame:
+    """Fine figures rolled up to major groups: null only where all parts are null; with ``base`` also the share of it in %."""
+    out = df
+    for name, parts in groups.items():
+        known = F.coalesce(*[F.col(p) for p in parts]).isNotNull()
+        out = out.withColumn(name, F.when(known, sum((F.coalesce(F.col(p), F.lit(0.0)) for p in parts), F.lit(0.0))))
+        if base:
+            out = out.withColumn(f"{name}_pct", F.try_divide(F.col(name) * 100.0, F.col(base)))
+    return out
+
+
+def banded(value: Column, edges: list[float]) -> Column:
+    """The number of edges that a value reaches; null of null."""
+    return F.when(value.isNotNull(), sum(((value >= e).cast("int") for e in edges), F.lit(0)))
+
+
+def band_summary(df: DataFrame, band: Column, entity: str, value: str) -> DataFrame:
+    """Per band distinct entities, and sum, mean and median of the value."""
+    return df.groupBy(band.alias("band")).agg(
+        F.count_distinct(entity).alias("entities"), F.sum(value).alias("total"), F.avg(value).alias("mean"), F.median(value).alias("median")
+    )
+
+
+def yearly_deficits(df: DataFrame, year: str, reserve: str, kinds: dict[str, Column]) -> DataFrame:
+    """Per year and membership: how many are in deficit, of how many, what they owe together, the largest and median debt."""
+    debt = F.when(F.col(reserve) < 0, -F.col(reserve))
+    return by_memberships(df.withColumn("_debt", debt), kinds).groupBy("kind", "area", year).agg(
+        F.count(reserve).alias("members"), F.count("_debt").alias("in_deficit"), F.sum("_debt").alias("owed"), F.max("_debt").alias("largest"), F.median("_debt").alias("median_debt")
+    )
+
+
+def exact_sum(value: Column, scale: int = 10) -> Column:
+    """A sum of doubles that doesn't depend on their order: added up as decimals of ``scale`` places, rounded once."""
+    return F.sum(value.cast(f"decimal(28,{scale})")).cast("double")
+
+
+def histogram(df: DataFrame, keys: list[str], grade: str, severity: list[str]) -> DataFrame:
+    """(keys, histogram: array of (place, grade, n) in the order of severity, headline: the gravest grade that occurs)."""
+    place = F.array_position(F.array(*[F.lit(g) for g in severity]), F.col(grade)).cast("int")
+    n = df.where(F.col(grade).isNotNull()).groupBy(*keys, place.alias("place"), grade).agg(F.count(F.lit(1)).alias("n"))
+    return n.groupBy(*keys).agg(
+        F.array_sort(F.collect_list(F.struct(F.when(F.col("place") == 0, len(severity) + 1).otherwise(F.col("place")).alias("place"), F.col(grade).alias("grade"), "n"))).alias("histogram")
+    ).withColumn("headline", F.col("histogram")[0]["grade"])

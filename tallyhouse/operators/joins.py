@@ -258,3 +258,49 @@ def structural_diff(left: DataFrame, right: DataFrame, key: str, doc: str) -> Da
 
     both = flat(left, "old").join(flat(right, "new"), [key, "path"], "full")
     return both.where(~F.col("old").eqNullSafe(F.col("new")))
+
+
+def with_sections(base: DataFrame, sections: dict[str, DataFrame], key: str) -> DataFrame:
+    """``base`` left-joined with tables of at most one row a key, each as a struct of its name, and the list of those present."""
+    out, names = base, list(sections)
+    for n, s in sections.items():
+        body = F.struct(*[F.col(c) for c in s.columns if c != key])
+        out = out.join(s.select(F.col(key), body.alias(n)), key, "left")
+    return out.withColumn("sections", F.array_compact(F.array(*[F.when(F.col(n).isNotNull(), F.lit(n)) for n in names])))
+
+
+def first_row_per_key(df: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """A lookup table: of the rows of a key the first in ``order``; rows without key are left out."""
+    rest = [c for c in df.columns if c != key]
+    best = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.min_by(F.struct(*rest), F.struct(*order, *[c for c in rest if c not in order])).alias("_r"))
+    return best.select(key, "_r.*")
+
+
+def by_group_or_all(df: DataFrame, benchmarks: DataFrame, keys: list[str], group: str, value: str) -> DataFrame:
+    """``df`` with a benchmark of its keys and group or, where there is none, of the group ``all``; ``basis`` says which."""
+    b = benchmarks.where(F.col(value).isNotNull())
+    own = b.select(*keys, group, F.col(value).alias("_own"))
+    every = b.where(F.col(group) == "all").select(*keys, F.col(value).alias("_all"))
+    out = df.join(own, [*keys, group], "left").join(every, keys, "left")
+    basis = F.when(F.col("_own").isNotNull(), "own").when(F.col("_all").isNotNull(), "all")
+    return out.withColumn(value, F.coalesce("_own", "_all")).withColumn("basis", basis).drop("_own", "_all")
+
+
+def attach_series(base: DataFrame, returns: DataFrame, key: str, period: str, known: Column, order: list[str]) -> DataFrame:
+    """One-to-many: the rows of ``returns`` of every key of ``base``, one a period; a row for which ``known`` holds goes before
+    one that withholds its figures, then the last in ``order``.  ``age`` is 1 for the latest period of a key."""
+    from tallyhouse.operators.panel import keep_last
+
+    r = keep_last(returns.withColumn("_known", F.coalesce(known, F.lit(False))), [key, period], [F.col("_known"), *[F.col(c) for c in order]])
+    w = Window.partitionBy(key).orderBy(F.col(period).desc())
+    return base.select(key).distinct().join(r.drop("_known"), key).withColumn("age", F.row_number().over(w))
+
+
+def first_polygon(points: DataFrame, polygons: DataFrame, cell: float) -> DataFrame:
+    """(id, pid): of the polygons that hold a point the first by ``pid``."""
+    return points_in_polygons(points, polygons, cell).groupBy("id").agg(F.min("pid").alias("pid"))
+
+
+def code_map(df: DataFrame, many: str, one: str, order: str) -> DataFrame:
+    """(``many``, ``one``): the code that the first row in ``order`` gives each of many codes; equal places by the smaller code."""
+    return df.where(F.col(many).isNotNull() & F.col(one).isNotNull()).groupBy(many).agg(F.min_by(one, F.struct(order, one)).alias(one))

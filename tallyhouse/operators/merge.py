@@ -43,3 +43,31 @@ def latest_period(df: DataFrame, period: str) -> DataFrame:
 def coverage(df: DataFrame, keys: list[str], columns: list[str]) -> DataFrame:
     """Rows and known values of each column per group."""
     return df.groupBy(*keys).agg(F.count(F.lit(1)).alias("rows"), *[F.count(c).alias(f"{c}_known") for c in columns])
+
+
+def late_matches(placed: DataFrame, late: DataFrame, key: str, target: str) -> DataFrame:
+    """Matches that come later than others (``key``, ``target``, evidence), merged: a placed match never moves, one that is
+    confirmed gains the evidence, one that is contradicted keeps it as ``contradicted``; keys not placed are added."""
+    a = placed.select(key, F.col(target).alias("_t"), F.col("evidence").alias("_e"))
+    b = late.select(key, F.col(target).alias("_lt"), F.col("evidence").alias("_le"))
+    both = a.join(b, key, "full")
+    same = F.col("_t") == F.col("_lt")
+    evidence = F.when(same, F.concat_ws("; ", "_e", "_le")).otherwise(F.coalesce("_e", "_le"))
+    return both.select(key, F.coalesce("_t", "_lt").alias(target), evidence.alias("evidence"), F.when(~same, F.col("_lt")).alias("contradicted"))
+
+
+def widespread(df: DataFrame, key: str, entity: str, most: int) -> DataFrame:
+    """``df`` with ``held_back``: whether its key is seen on more than ``most`` entities."""
+    n = df.where(F.col(key).isNotNull()).groupBy(key).agg(F.count_distinct(entity).alias("_n"))
+    return df.join(n, key, "left").withColumn("held_back", F.coalesce(F.col("_n") > most, F.lit(False))).drop("_n")
+
+
+def best_verdict(df: DataFrame, keys: list[str], verdict: str, ranks: list[str]) -> DataFrame:
+    """One row per key: the best of its verdicts, the first of ``ranks`` being best; others than those are worse than all."""
+    place = F.coalesce(F.nullif(F.array_position(F.array(*[F.lit(r) for r in ranks]), F.col(verdict)), F.lit(0)), F.lit(len(ranks) + 1))
+    return df.groupBy(*keys).agg(F.min_by(verdict, F.struct(place, verdict)).alias(verdict), F.count(F.lit(1)).alias("checked"))
+
+
+def gate(df: DataFrame, judged: Column, wrong: Column, least: int) -> DataFrame:
+    """One row: how many were judged, how many wrongly, and whether that passes: ``least`` judged, none wrong."""
+    return df.agg(F.count_if(judged).alias("judged"), F.count_if(judged & wrong).alias("wrong")).withColumn("passes", (F.col("judged") >= least) & (F.col("wrong") == 0))

@@ -77,3 +77,26 @@ def search_score(name: Column, query: str) -> Column:
     for word in q.split():
         every = every & F.exists(words, _starts(word))
     return F.when(n.startswith(q), 3).when(every, 2).when(n.contains(q), 1)
+
+
+def seeded_sample(df: DataFrame, ident: str, n: int, seed: str) -> DataFrame:
+    """``n`` rows in the order of a hash of seed and id: the same rows in the same order whatever the partitions."""
+    key = F.md5(F.concat(F.lit(f"{seed}|"), F.col(ident).cast("string")))
+    return df.withColumn("_h", key).orderBy("_h", ident).limit(n).drop("_h")
+
+
+def pinned_first(df: DataFrame, pinned: Column, column: str, ident: str, up: bool = True, out: str = "place") -> DataFrame:
+    """``df`` with its place in a table order: pinned rows first, then by a column, nulls last either way, then by id."""
+    by = F.col(column).asc_nulls_last() if up else F.col(column).desc_nulls_last()
+    return with_rank(df, [F.coalesce(pinned, F.lit(False)).desc(), by, F.col(ident).asc()], out)
+
+
+def top_per_bucket(df: DataFrame, keys: list[str], chance: Column, edges: dict[str, float], order: list[Column], k: int) -> DataFrame:
+    """The first ``k`` rows of every class of chance: the first of ``edges`` (name -> least chance, best first) that is reached."""
+    bucket = F.coalesce(*[F.when(chance >= least, F.lit(name)) for name, least in edges.items()])
+    return top_k(df.withColumn("bucket", bucket).where("bucket is not null"), [*keys, "bucket"], order, k)
+
+
+def distinct_in_order(items: Column) -> Column:
+    """An array without repeats, each value at its first place; nulls are left out."""
+    return F.array_distinct(F.array_compact(items))

@@ -112,3 +112,42 @@ def trend(df: DataFrame, keys: list[str], year: str, value: str, length: int = 3
     w = Window.partitionBy(*keys).orderBy(F.col(year).desc())
     last = df.where(F.col(value).isNotNull()).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= length)
     return last.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(year, value))).alias("trend"))
+
+
+def change_since(df: DataFrame, keys: list[str], year: str, value: str, base: int, out: str = "change_pct") -> DataFrame:
+    """The change of ``value`` in % since the year ``base``; null where that year is missing, null or 0."""
+    w = Window.partitionBy(*keys)
+    start = F.max(F.when(F.col(year) == base, F.col(value))).over(w)
+    return df.withColumn(out, F.try_divide((F.col(value) - start) * 100.0, start))
+
+
+def latest_number(df: DataFrame, keys: list[str], year: str, text: str, most: float | None = None) -> DataFrame:
+    """Per key the number in the latest year that has one, and that year; a number beyond ``most`` comes out as null."""
+    from tallyhouse.functions.text import human_number
+
+    n = df.withColumn("_v", human_number(F.col(text))).where("_v is not null").groupBy(*keys).agg(F.max_by(F.struct("_v", year), year).alias("_r"))
+    v = F.col("_r._v")
+    return n.select(*keys, F.col(f"_r.{year}").alias(year), (v if most is None else F.when(v <= most, v)).alias("value"))
+
+
+def drop_repeats(df: DataFrame, keys: list[str], order: str, values: list[str]) -> DataFrame:
+    """Rows whose values differ from those of the row before; the first of a key always stays."""
+    w = Window.partitionBy(*keys).orderBy(order)
+    same = F.lag(F.struct(*values)).over(w).eqNullSafe(F.struct(*values)) & (F.row_number().over(w) > 1)
+    return df.withColumn("_same", same).where(~F.col("_same")).drop("_same")
+
+
+def lagged_cohorts(df: DataFrame, keys: list[str], columns: dict[int, str], year: Column, out: str = "trend") -> DataFrame:
+    """Wide columns of earlier cohorts (lag in years -> column) as one array of (year, value), oldest first, nulls left out."""
+    points = F.array(*[F.struct((year - lag).cast("int").alias("year"), F.col(c).cast("double").alias("value")) for lag, c in columns.items()])
+    return df.select(*keys, F.array_sort(F.filter(points, lambda p: p["value"].isNotNull())).alias(out))
+
+
+def standing(last_year: Column, now: int, recent: int = 2) -> Column:
+    """current, recent (within ``recent`` years) or historical, by the last year seen; null of null."""
+    return F.when(last_year >= now, "current").when(last_year >= now - recent, "recent").when(last_year.isNotNull(), "historical")
+
+
+def latest_known(df: DataFrame, keys: list[str], year: str, values: list[str]) -> DataFrame:
+    """Per key each value of the latest year in which it is known."""
+    return df.groupBy(*keys).agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(year))).alias(v) for v in values])

@@ -166,6 +166,123 @@ def metres_between(a_lat: Column, a_lon: Column, b_lat: Column, b_lon: Column) -
     return F.sqrt(dx * dx + dy * dy)
 
 
+
+def seed_clusters(points: DataFrame, name: str, metres: float) -> DataFrame:
+    """(cluster, name, n, lat, lon): points of one name taken in the order of ``rank``; each joins the first seed of its name
+    within ``metres``, or else is a seed itself; the mean position of what joined.
+
+    Seeds are the points that ``greedy_distinct`` keeps when points of other names don't count.
+    """
+    from tallyhouse.session import staged
+
+    p = staged(points.select("point", "rank", "lat", "lon", F.col(name).alias("_name")), "points")
+    n = p.select("point", "_name", "rank")
+    side = lambda x: n.select(F.col("point").alias(x), F.col("_name").alias(f"_n{x}"), F.col("rank").alias(f"_r{x}"))
+    near = near_points(p, metres).select("a", "b").join(side("a"), "a").join(side("b"), "b").where(F.col("_na").eqNullSafe(F.col("_nb")))
+    near = staged(near.select("a", "b", "_ra", "_rb"), "near")
+    seeds = _greedy(p.select("point"), near)
+    both = near.select(F.col("a").alias("seed"), F.col("b").alias("point"), F.col("_ra").alias("_r")).unionByName(near.select(F.col("b").alias("seed"), F.col("a").alias("point"), F.col("_rb").alias("_r")))
+    to = both.join(seeds.select(F.col("point").alias("seed")), "seed", "left_semi").join(seeds, "point", "left_anti").groupBy("point").agg(F.min_by("seed", "_r").alias("seed"))
+    whole = p.join(to, "point", "left").withColumn("cluster", F.coalesce("seed", "point"))
+    return whole.groupBy("cluster", F.col("_name").alias(name)).agg(F.count(F.lit(1)).alias("n"), F.avg("lat").alias("lat"), F.avg("lon").alias("lon"))
+
+
+def _greedy(points: DataFrame, near: DataFrame) -> DataFrame:
+    """(point): kept by the sequential rule over near pairs (a, b, _ra, _rb)."""
+    from tallyhouse.session import drop_staged, stage
+
+    spark, first = points.sparkSession, F.col("_ra") < F.col("_rb")
+    live = near.select(F.when(first, F.col("a")).otherwise(F.col("b")).alias("better"), F.when(first, F.col("b")).otherwise(F.col("a")).alias("worse"))
+    dropped, before, turn = None, None, 0
+    while True:
+        turn += 1
+        kept = live.select(F.col("better").alias("point")).distinct().join(live.select(F.col("worse").alias("point")).distinct(), "point", "left_anti")
+        gone, _ = stage(live.join(kept.withColumnRenamed("point", "better"), "better", "left_semi").select(F.col("worse").alias("point")).distinct(), f"gone-{turn}")
+        if gone.isEmpty():
+            break
+        dropped = gone if dropped is None else dropped.unionByName(gone)
+        out = gone.unionByName(kept)
+        rest = live.join(out.withColumnRenamed("point", "worse"), "worse", "left_anti").join(out.withColumnRenamed("point", "better"), "better", "left_anti")
+        live, path = stage(rest, f"live-{turn}")
+        if before:
+            drop_staged(spark, before)
+        before = path
+    return points.distinct() if dropped is None else points.distinct().join(dropped, "point", "left_anti")
+
+
+def _segment_gap(ax: Column, ay: Column, bx: Column, by: Column, px: Column, py: Column) -> Column:
+    """Distance of a point from a segment in the plane."""
+    dx, dy = bx - ax, by - ay
+    t = F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.coalesce(F.try_divide((px - ax) * dx + (py - ay) * dy, dx * dx + dy * dy), F.lit(0.0))))
+    return F.hypot(px - ax - t * dx, py - ay - t * dy)
+
+
+def _edges(ring: Column) -> Column:
+    n = F.size(ring)
+    return F.zip_with(F.slice(ring, F.lit(1), n - 1), F.slice(ring, F.lit(2), n - 1), lambda p, q: F.struct(p["x"].alias("px"), p["y"].alias("py"), q["x"].alias("qx"), q["y"].alias("qy")))
+
+
+def ring_gap(x: Column, y: Column, ring: Column) -> Column:
+    """Distance of a point from the border of a ring, in the units of its coordinates."""
+    return F.array_min(F.transform(_edges(ring), lambda e: _segment_gap(e["px"], e["py"], e["qx"], e["qy"], x, y)))
+
+
+def near_polygons(polygons: DataFrame, distance: float, cell: float) -> DataFrame:
+    """(a, b, gap), a < b: polygons (pid, ring) whose borders are at most ``distance`` apart; 0 where they meet or overlap.
+
+    Coordinates are planar.  Boxes widened by the distance meet on grid cells; then the least distance of the corners of
+    either from the edges of the other decides, or that edges cross, or that one holds a corner of the other.
+    """
+    from tallyhouse.operators.joins import inside_ring
+
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    half = distance / 2
+    boxes = polygons.select(F.col("pid").alias("id"), (F.array_min(xs) - half).alias("x0"), (F.array_max(xs) + half).alias("x1"), (F.array_min(ys) - half).alias("y0"), (F.array_max(ys) + half).alias("y1"))
+    pairs = overlapping_boxes(boxes, boxes, cell).where("ida < idb")
+    side = lambda i, n: polygons.select(F.col("pid").alias(i), F.col("ring").alias(n))
+    both = pairs.join(side("ida", "_a"), "ida").join(side("idb", "_b"), "idb")
+
+    def corners(ring: str, other: str) -> Column:
+        return F.array_min(F.transform(F.col(ring), lambda p: ring_gap(p["x"], p["y"], F.col(other))))
+
+    def turn(e: Column, x: Column, y: Column) -> Column:
+        return (e["qx"] - e["px"]) * (y - e["py"]) - (e["qy"] - e["py"]) * (x - e["px"])
+
+    def meets(e: Column, f: Column) -> Column:
+        return (turn(e, f["px"], f["py"]) * turn(e, f["qx"], f["qy"]) < 0) & (turn(f, e["px"], e["py"]) * turn(f, e["qx"], e["qy"]) < 0)
+
+    cross = F.exists(_edges(F.col("_a")), lambda e: F.exists(_edges(F.col("_b")), lambda f: meets(e, f)))
+    held = F.coalesce(inside_ring(F.col("_a")[0]["x"], F.col("_a")[0]["y"], F.col("_b")), F.lit(False)) | F.coalesce(inside_ring(F.col("_b")[0]["x"], F.col("_b")[0]["y"], F.col("_a")), F.lit(False))
+    gap = F.when(cross | held, F.lit(0.0)).otherwise(F.least(corners("_a", "_b"), corners("_b", "_a")))
+    return both.select(F.col("ida").alias("a"), F.col("idb").alias("b"), gap.alias("gap")).where(F.col("gap") <= distance)
+
+
+def within_of_polygon(points: DataFrame, polygons: DataFrame, distance: float, cell: float) -> DataFrame:
+    """(id, pid, gap): points (id, x, y) inside a polygon (pid, ring) or at most ``distance`` from it: a buffer without its outline."""
+    from tallyhouse.operators.joins import inside_ring
+
+    xs, ys = F.transform("ring", lambda p: p["x"]), F.transform("ring", lambda p: p["y"])
+    g = lambda c: F.floor(c / cell).cast("long")
+    boxed = polygons.withColumn("_cx", F.explode(F.sequence(g(F.array_min(xs) - distance), g(F.array_max(xs) + distance))))
+    boxed = boxed.withColumn("_cy", F.explode(F.sequence(g(F.array_min(ys) - distance), g(F.array_max(ys) + distance))))
+    p = points.withColumn("_cx", g(F.col("x"))).withColumn("_cy", g(F.col("y"))).join(boxed, ["_cx", "_cy"])
+    gap = F.when(F.coalesce(inside_ring(F.col("x"), F.col("y"), F.col("ring")), F.lit(False)), F.lit(0.0)).otherwise(ring_gap(F.col("x"), F.col("y"), F.col("ring")))
+    return p.select("id", "pid", gap.alias("gap")).where(F.col("gap") <= distance)
+
+
+def rounded_ring(ring: Column, digits: int) -> Column:
+    """A ring with coordinates rounded and repeats of a corner left out; null where fewer than four corners stay."""
+    r = F.transform(ring, lambda p: F.struct(F.round(p["x"], digits).alias("x"), F.round(p["y"], digits).alias("y")))
+    kept = F.filter(r, lambda p, i: (i == 0) | (p != F.element_at(r, F.greatest(i, F.lit(1)))))
+    return F.when(F.size(kept) >= 4, kept)
+
+
+def zoom_for_scale(denominator: Column) -> Column:
+    """The least web map zoom at which a layer drawn up to a scale of 1 : denominator shows; 559,082,264 is the scale of zoom 0."""
+    return F.greatest(F.lit(0), F.ceil(F.log2(F.lit(559_082_264.028) / denominator))).cast("int")
+
+
 __all__ = [
-    "centre_clusters", "destination", "greedy_distinct", "haversine_m", "metres_between", "nearest_of_each_kind", "overlapping_boxes", "significance", "simplified",
+    "centre_clusters", "destination", "greedy_distinct", "haversine_m", "metres_between", "near_polygons", "nearest_of_each_kind", "overlapping_boxes",
+    "ring_gap", "rounded_ring", "seed_clusters", "significance", "simplified", "within_of_polygon", "zoom_for_scale",
 ]

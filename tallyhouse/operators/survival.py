@@ -58,3 +58,22 @@ def poisson_tail(mean: Column, k: Column) -> Column:
 def places_needed(distance: Column, reach: Column, offers: Column) -> Column:
     """Places that must free up until a cut-off ``reach`` extends to ``distance``, were homes spread evenly."""
     return F.greatest(F.lit(1), F.round(F.lit(0.75) * offers * (distance * distance - reach * reach) / (reach * reach))).cast("int")
+
+
+def rescaled_cutoff(cutoff: Column, growth: Column) -> Column:
+    """A cut-off distance if demand grew by a share: the area shrinks by 1 + growth; infinite ones stay."""
+    return F.when(cutoff < float("inf"), cutoff * F.sqrt(1 / (1 + growth))).otherwise(cutoff)
+
+
+def survival_in_band(df: DataFrame, keys: list[str], band: Column, cutoff: str, weight: str, growth: float, points: list[float]) -> DataFrame:
+    """``survival_at`` for the samples of one band, their cut-offs rescaled by the growth of demand."""
+    one = df.where(band).withColumn(cutoff, rescaled_cutoff(F.col(cutoff), F.lit(growth)))
+    return survival_at(one, keys, cutoff, weight, points)
+
+
+def reach(df: DataFrame, keys: list[str], cutoff: str, at: Column) -> DataFrame:
+    """Per key the least and greatest finite cut-off, how many years reached everyone, and how many a given distance."""
+    finite = F.when(F.col(cutoff) < float("inf"), F.col(cutoff))
+    return df.where(F.col(cutoff).isNotNull()).groupBy(*keys).agg(
+        F.min(finite).alias("nearest"), F.max(finite).alias("furthest"), F.count_if(F.col(cutoff) == float("inf")).alias("everyone"), F.count_if(F.col(cutoff) >= at).alias("hits"), F.count(F.lit(1)).alias("years")
+    )

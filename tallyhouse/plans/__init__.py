@@ -5,6 +5,6 @@ from __future__ import annotations
 
 def all_catalogues() -> list:
     """The catalogues of the core, in the order of their importance."""
-    from tallyhouse.plans import journeys, panels, register, relations
+    from tallyhouse.plans import files, journeys, panels, profiles, register, relations
 
-    return [register.C, panels.C, relations.C, journeys.C]
+    return [register.C, panels.C, relations.C, journeys.C, profiles.C, files.C]
