@@ -82,11 +82,9 @@ def rank_bands(df: DataFrame, keys: list[str], ident: str, measures: list[str],
 
 def quantile_bins(df: DataFrame, value: str, bins: int) -> DataFrame:
     """Distinct cut values at index floor(i * n / bins) of the sorted values (one row: array ``cuts``)."""
-    q = [i / bins for i in range(1, bins)]
     r = df.where(F.col(value).isNotNull()).select(value)
     n = r.count()
     wanted = {int(i * n // bins) for i in range(1, bins)}
-    del q
     # The index of a value: counts per distinct value, summed in two steps over ranges, never in one unordered task.
     from tallyhouse.operators.order import with_rank
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 from tallyhouse.operators.near import haversine_m
-from tallyhouse.session import staged
+from tallyhouse.session import drop_staged, stage, staged
 
 
 def by_precedence(base: DataFrame, sources: list[tuple[str, DataFrame]], keys: list[str], value: str) -> DataFrame:
@@ -151,14 +155,25 @@ def nearest_values(df: DataFrame, block: list[str], ident: str, measures: dict[s
 def within_metres(left: DataFrame, right: DataFrame, metres: float) -> DataFrame:
     """(id, rid, metres) of left (id, lat, lon) and right (rid, rlat, rlon) points at most ``metres`` apart, by grid cells.
 
-    Cells are as high as the radius; a left point meets the cells within the radius in both directions at its latitude.
+    Rows of cells are as high as the radius; a row is cut around the whole circle of latitude into cells as wide as the radius
+    is there at most, fewer towards the poles, so neither the date line nor a pole hides a pair.
     """
-    deg = metres / 111_194.9 * 1.0001
-    r = right.withColumn("_cy", F.floor(F.col("rlat") / deg).cast("long")).withColumn("_cx", F.floor(F.col("rlon") / deg).cast("long"))
-    l = left.withColumn("_cy", F.explode(F.sequence(F.floor(F.col("lat") / deg).cast("long") - 1, F.floor(F.col("lat") / deg).cast("long") + 1)))  # noqa: E741
-    wide = F.ceil(1 / F.greatest(F.cos(F.radians(F.abs("lat") + deg)), F.lit(0.01))).cast("long")
-    at = F.floor(F.col("lon") / deg).cast("long")
-    l = l.withColumn("_cx", F.explode(F.sequence(at - wide, at + wide)))  # noqa: E741
+    deg = float(metres / 111_194.9 * 1.0001)
+
+    def cells(row: Column) -> Column:
+        """How many cells a row of latitude has: 1 where the radius may reach around the pole."""
+        edge = F.greatest(F.abs(row * deg), F.abs((row + 1) * deg)) + deg
+        sine = F.sin(F.radians(F.lit(deg))) / F.cos(F.radians(F.least(edge, F.lit(89.9))))
+        width = F.degrees(F.asin(F.least(sine, F.lit(1.0)))) * (1 + 1e-9)
+        return F.when((edge + deg >= 89.9) | (sine >= 1), F.lit(1)).otherwise(F.greatest(F.floor(360 / width), F.lit(1))).cast("long")
+
+    at = lambda lon, n: F.floor(F.pmod(lon + 180, F.lit(360.0)) / 360 * n).cast("long")
+    r = right.withColumn("_cy", F.floor(F.col("rlat") / deg).cast("long"))
+    r = r.withColumn("_cx", at(F.col("rlon"), cells(F.col("_cy"))))
+    row = F.floor(F.col("lat") / deg).cast("long")
+    l = left.withColumn("_cy", F.explode(F.sequence(row - 1, row + 1))).withColumn("_n", cells(F.col("_cy")))  # noqa: E741
+    x = at(F.col("lon"), F.col("_n"))
+    l = l.withColumn("_cx", F.explode(F.array_distinct(F.array(F.pmod(x - 1, F.col("_n")), x, F.pmod(x + 1, F.col("_n"))))))  # noqa: E741
     d = haversine_m(F.col("lat"), F.col("lon"), F.col("rlat"), F.col("rlon"))
     return l.join(r, ["_cy", "_cx"]).select("id", "rid", d.alias("metres")).where(F.col("metres") <= metres)
 
@@ -218,11 +233,12 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
     """(node, component): the smallest node reachable over undirected edges.
 
     Alternating large-star and small-star steps: each links the neighbours of a node to the smallest one it knows, so the
-    number of rounds grows with the logarithm of the longest chain.  Every round is cut by a table in the shared folder.
+    number of rounds grows with the logarithm of the longest chain.  Every round is cut by a table in the shared folder, which
+    is dropped when the next one is written.  Edges that don't settle within ``rounds`` are an error.
     """
     e = edges.select(F.col(a).alias("u"), F.col(b).alias("v")).where("u is not null and v is not null")
     nodes = staged(e.select("u").union(e.select("v")).distinct(), "nodes")
-    e = staged(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
+    e, path = stage(e.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), "edges")
     before = None
     for i in range(rounds):
         both = e.union(e.select("v", "u"))
@@ -232,29 +248,50 @@ def components(edges: DataFrame, a: str = "a", b: str = "b", rounds: int = 60) -
         down = e.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v"))
         low = down.groupBy("u").agg(F.min("v").alias("m"))
         small = down.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low.select("u", F.col("m").alias("v")))
-        e = staged(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"edges-{i}")
+        e, new = stage(small.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"edges-{i}")
+        drop_staged(edges.sparkSession, path)
+        path = new
         now = e.agg(F.count(F.lit(1)), F.bit_xor(F.xxhash64("u", "v"))).first()
         if now == before:
-            break
+            root = e.groupBy("u").agg(F.min("v").alias("component"))
+            return nodes.join(root, "u", "left").select(F.col("u").alias("node"), F.coalesce("component", "u").alias("component"))
         before = now
-    root = e.groupBy("u").agg(F.min("v").alias("component"))
-    return nodes.join(root, "u", "left").select(F.col("u").alias("node"), F.coalesce("component", "u").alias("component"))
+    raise RuntimeError(f"components not settled after {rounds} rounds")
+
+
+def _scalars(text: str | None) -> list[tuple[str, str | None]]:
+    """(path, text) of all scalars of a JSON text, to any depth; an empty object or array is one of its own."""
+    try:
+        todo = [("", json.loads(text))] if text is not None else []
+    except (ValueError, RecursionError):
+        return []
+    out: list[tuple[str, str | None]] = []
+    while todo:
+        path, value = todo.pop()
+        parts = value.items() if isinstance(value, dict) else ((f"#{i}", v) for i, v in enumerate(value)) if isinstance(value, list) else None
+        if parts is None or not value and isinstance(value, (dict, list)):
+            if path:
+                out.append((path, value if isinstance(value, str) else None if value is None else json.dumps(value)))
+        else:
+            todo += [(f"{path}.{k}" if path else k, v) for k, v in parts]
+    return out
 
 
 def structural_diff(left: DataFrame, right: DataFrame, key: str, doc: str) -> DataFrame:
-    """(key, path, old, new) of every scalar that differs between two JSON documents of a key, to two levels of nesting."""
+    """(key, path, old, new) of every scalar that differs between two JSON documents of a key, to any depth of nesting.
+
+    Elements of arrays are named by their place (``#0``); JSON null is like a missing value; texts that can't be read have
+    no scalars.
+    """
+    flat_type = ArrayType(StructType([StructField("path", StringType()), StructField("value", StringType())]))
+
+    def scalars(texts: pd.Series) -> pd.Series:
+        return texts.map(_scalars)
+
+    read = F.pandas_udf(scalars, flat_type)
 
     def flat(d: DataFrame, out: str) -> DataFrame:
-        spark = d.sparkSession
-        v = d.select(key, F.try_parse_json(doc).alias("_v"))
-        top = v.lateralJoin(spark.tvf.variant_explode_outer(F.col("_v").outer())).select(key, F.coalesce(F.col("key"), F.concat(F.lit("#"), F.col("pos"))).alias("p"), "value")
-        nested = F.schema_of_variant("value").rlike("^(OBJECT|ARRAY)")
-        leaf = top.where(~nested).select(key, F.col("p").alias("path"), F.try_variant_get("value", "$", "string").alias(out))
-        deep = top.where(nested).select(key, "p", F.col("value").alias("_w"))
-        deep = deep.lateralJoin(spark.tvf.variant_explode(F.col("_w").outer())).select(
-            key, F.concat_ws(".", "p", F.coalesce(F.col("key"), F.concat(F.lit("#"), F.col("pos")))).alias("path"), F.try_variant_get("value", "$", "string").alias(out)
-        )
-        return leaf.unionByName(deep).where("path is not null")
+        return d.select(key, F.explode(read(F.col(doc))).alias("e")).select(key, F.col("e.path").alias("path"), F.col("e.value").alias(out))
 
     both = flat(left, "old").join(flat(right, "new"), [key, "path"], "full")
     return both.where(~F.col("old").eqNullSafe(F.col("new")))

@@ -192,7 +192,16 @@ def q_evidence_gate(spark: SparkSession, sf_dir: str) -> DataFrame:
 # --- geometry ---------------------------------------------------------------------------------------------------------
 
 
-@C.query("q_greedy_distinct")
+_KEPT = """nb AS (SELECT k.urn, row_number() OVER (ORDER BY k.urn) AS i, coalesce(list(better) FILTER (WHERE better IS NOT NULL), []) AS better FROM k LEFT JOIN near ON worse = k.urn GROUP BY k.urn),
+r(i, kept) AS (SELECT i, [urn] FROM nb WHERE i = 1 UNION ALL SELECT nb.i, CASE WHEN list_has_any(kept, better) THEN kept ELSE list_append(kept, urn) END FROM r JOIN nb ON nb.i = r.i + 1),
+seeds AS (SELECT unnest(kept) AS urn FROM (SELECT kept FROM r ORDER BY i DESC LIMIT 1))"""
+
+
+@C.query(
+    "q_greedy_distinct",
+    f"""WITH RECURSIVE {_PLACES_SQL}, k AS (SELECT urn, lat, lon FROM spot),
+near AS (SELECT a.urn AS better, b.urn AS worse FROM k a JOIN k b ON a.urn < b.urn AND abs(a.lat - b.lat) < 0.01 WHERE {_HAV} <= 400), {_KEPT} SELECT urn FROM seeds""",
+)
 def q_greedy_distinct(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schools left when, in the order of their URNs, each within 400 m of one already taken is skipped."""
     p = school_places(spark, sf_dir).select(F.col("urn").alias("point"), F.col("urn").alias("rank"), "lat", "lon")
@@ -233,9 +242,31 @@ def q_box_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spatial.overlapping_boxes(box, box, 0.1).where("ida < idb").select(F.col("ida").alias("la_a"), F.col("idb").alias("la_b"))
 
 
-@C.query("q_phase_clusters")
+@C.query(
+    "q_seed_clusters",
+    f"""WITH RECURSIVE {_PLACES_SQL}, ph AS (SELECT urn, min(phase) AS phase FROM establishment GROUP BY urn), k AS (SELECT urn, lat, lon, phase FROM spot JOIN ph USING (urn) WHERE phase IS NOT NULL),
+near AS (SELECT a.urn AS better, b.urn AS worse FROM k a JOIN k b ON a.urn < b.urn AND a.phase = b.phase AND abs(a.lat - b.lat) < 0.01 WHERE {_HAV} <= 500), {_KEPT},
+c AS (SELECT k.urn, k.phase, coalesce(min(near.better) FILTER (WHERE near.better IN (SELECT urn FROM seeds)), k.urn) AS cluster FROM k LEFT JOIN near ON worse = k.urn GROUP BY k.urn, k.phase)
+SELECT cluster, phase, CAST(count(*) AS BIGINT) AS n FROM c GROUP BY cluster, phase""",
+)
+def q_seed_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Schools of one phase around seeds taken in the order of their URNs: within 500 m of the first such seed."""
+    ph = table(spark, sf_dir, "establishment").groupBy("urn").agg(F.min("phase").alias("phase"))
+    p = school_places(spark, sf_dir).join(ph, "urn").select(F.col("urn").alias("point"), F.col("urn").alias("rank"), "phase", "lat", "lon")
+    return spatial.seed_clusters(p.where("phase is not null"), "phase", 500.0).select("cluster", "phase", "n")
+
+
+@C.query(
+    "q_phase_clusters",
+    f"""WITH RECURSIVE {_PLACES_SQL}, ph AS (SELECT urn, min(phase) AS phase FROM establishment GROUP BY urn), k AS (SELECT urn, lat, lon, phase FROM spot JOIN ph USING (urn) WHERE phase IS NOT NULL),
+near AS (SELECT a.urn AS x, b.urn AS y FROM k a JOIN k b ON a.urn <> b.urn AND a.phase = b.phase AND abs(a.lat - b.lat) < 0.01 WHERE {_HAV} <= 500),
+reach(a, b) AS (SELECT urn, urn FROM k UNION SELECT reach.a, near.y FROM reach JOIN near ON near.x = reach.b),
+c AS (SELECT a AS urn, min(b) AS cluster FROM reach GROUP BY a)
+SELECT cluster, phase, CAST(count(*) AS BIGINT) AS n, round(avg(lat) + 1e-9, 4) AS lat, round(avg(lon) + 1e-9, 4) AS lon FROM c JOIN k USING (urn) GROUP BY cluster, phase""",
+)
 def q_phase_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Schools of one phase within 500 m of each other, linked on, as one place."""
     ph = table(spark, sf_dir, "establishment").groupBy("urn").agg(F.min("phase").alias("phase"))
-    p = school_places(spark, sf_dir).join(ph, "urn").select(F.col("urn").alias("point"), "phase", "lat", "lon")
-    return spatial.centre_clusters(p, "phase", 500.0)
+    p = school_places(spark, sf_dir).join(ph, "urn").where("phase is not null").select(F.col("urn").alias("point"), "phase", "lat", "lon")
+    c = spatial.centre_clusters(p, "phase", 500.0)
+    return c.select("cluster", "phase", "n", F.round(F.col("lat") + 1e-9, 4).alias("lat"), F.round(F.col("lon") + 1e-9, 4).alias("lon"))

@@ -457,7 +457,14 @@ def q_chunk_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return order.chunks(o, [F.col("o_totalprice"), F.col("o_orderkey")], 4500).select("chunk", "o_orderkey")
 
 
-@C.query("q_greedy_paging")
+@C.query(
+    "q_greedy_paging",
+    """WITH RECURSIVE p AS (SELECT p_brand, p_partkey, len(p_name) AS chars, row_number() OVER (PARTITION BY p_brand ORDER BY p_partkey) AS i FROM part),
+r(p_brand, i, p_partkey, page, used) AS (SELECT p_brand, i, p_partkey, CAST(0 AS BIGINT), chars FROM p WHERE i = 1 UNION ALL
+  SELECT p.p_brand, p.i, p.p_partkey, CASE WHEN r.used > 0 AND r.used + p.chars > CASE WHEN r.page = 0 THEN 120 ELSE 200 END THEN r.page + 1 ELSE r.page END,
+    CASE WHEN r.used > 0 AND r.used + p.chars > CASE WHEN r.page = 0 THEN 120 ELSE 200 END THEN p.chars ELSE r.used + p.chars END FROM r JOIN p ON p.p_brand = r.p_brand AND p.i = r.i + 1)
+SELECT p_brand, p_partkey, page FROM r""",
+)
 def q_greedy_paging(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Parts of each brand on pages of at most 200 characters of names, 120 on the first."""
     p = table(spark, sf_dir, "part").select("p_brand", "p_partkey", F.length("p_name").alias("chars"))

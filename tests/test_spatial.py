@@ -75,3 +75,40 @@ def test_points_in_polygons_with_holes(spark):
     points = spark.createDataFrame([(1, 0.1, 0.2), (2, 2.1, 0.3), (3, 8.2, 7.9), (4, 5.0, 5.0), (5, 0.7, 0.6)], "id int, x double, y double")
     got = {tuple(r) for r in joins.points_in_polygons(points, polygons, 0.8).collect()}
     assert got == {(1, "parts"), (2, "holed"), (3, "parts")}
+
+
+def test_within_metres_across_date_line_and_pole(spark):
+    import random
+
+    from tallyhouse.operators.near import EARTH_M
+
+    rnd = random.Random(8)
+    def spots(n, lat, spread, base):  # noqa: ANN001, ANN202, E306
+        return [(base + i, max(-90.0, min(90.0, lat + rnd.uniform(-0.03, 0.03))), ((180 + rnd.uniform(-spread, spread)) + 180) % 360 - 180) for i in range(n)]
+    for lat, spread in ((10, 0.03), (-70, 0.1), (89.98, 180), (-89.5, 180)):
+        a, b = spots(60, lat, spread, 0), spots(60, lat, spread, 1000)
+        got = joins.within_metres(spark.createDataFrame(a, "id long, lat double, lon double"), spark.createDataFrame(b, "rid long, rlat double, rlon double"), 2000.0)
+        def far(p, q):  # noqa: ANN001, ANN202, E306
+            x, y = math.radians(p[1]), math.radians(q[1])
+            h = math.sin((y - x) / 2) ** 2 + math.cos(x) * math.cos(y) * math.sin(math.radians(q[2] - p[2]) / 2) ** 2
+            return 2 * EARTH_M * math.asin(math.sqrt(min(1, h)))
+        want = {(p[0], q[0]) for p in a for q in b if far(p, q) <= 2000}
+        assert want
+        rows = [(r.id, r.rid) for r in got.collect()]
+        assert len(rows) == len(set(rows))
+        assert set(rows) == want
+
+
+def test_structural_diff_to_any_depth(spark):
+    doc = lambda x: [(1, x)]
+    frame = lambda x: spark.createDataFrame(doc(x), "k int, doc string")
+    old, new = '{"a": {"b": {"c": {"d": 1, "e": [1, {"f": true}]}}}, "g": null, "h": {}}', '{"a": {"b": {"c": {"d": 2, "e": [1, {"f": false}]}}}, "h": []}'
+    assert {tuple(r)[1:] for r in joins.structural_diff(frame(old), frame(new), "k", "doc").collect()} == {("a.b.c.d", "1", "2"), ("a.b.c.e.#1.f", "true", "false"), ("h", "{}", "[]")}
+    assert joins.structural_diff(frame(None), frame("{"), "k", "doc").collect() == []
+
+
+def test_components_that_do_not_settle_fail(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(40)], "a long, b long")
+    assert {r.component for r in joins.components(chain).collect()} == {0}
+    with pytest.raises(RuntimeError):
+        joins.components(chain, rounds=1)
