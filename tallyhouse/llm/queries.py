@@ -85,6 +85,21 @@ def p5_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
     return percentiles.merged(kept, ["la", "measure"], [0.1, 0.5, 0.9])
 
 
+@C.query(
+    "p5_merged_within",
+    _P5_VALUES + "SELECT la, measure, share, true AS within FROM (SELECT DISTINCT la, measure FROM ranked), (VALUES (0.1), (0.5), (0.9)) q(share)",
+)
+def p5_merged_within(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether the merged percentiles of each authority lie within the stated rank error of 5 % of all its values."""
+    values = finance_values(spark, sf_dir)
+    got = percentiles.merged(percentiles.summaries(values, ["la", "measure"], "start_year", 0.05), ["la", "measure"], [0.1, 0.5, 0.9])
+    met = values.select("la", "measure", F.col("value").alias("v")).join(got, ["la", "measure"])
+    ranks = met.groupBy("la", "measure", "share", "n").agg(F.count_if(F.col("v") < F.col("value")).alias("below"), F.count_if(F.col("v") <= F.col("value")).alias("upto"))
+    low, high = F.col("below") + 1, F.col("upto")  # the ranks that the value given has
+    wanted = percentiles.wanted_rank(F.col("share"), F.col("n"))
+    return ranks.select("la", "measure", "share", (F.greatest(low - wanted, wanted - high, F.lit(0)) <= 0.05 * F.col("n") + 1).alias("within"))
+
+
 # --- tokens -----------------------------------------------------------------------------------------------------------
 
 
@@ -124,6 +139,22 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.uses(mixing.placed(texts, plan))
 
 
+@C.query(
+    "p8_targets",
+    """WITH k AS (SELECT trim(regexp_replace(lower(trim(source)), '[^\\p{L}\\p{N}]+', '_', 'g'), '_') AS source, weight, max_repeats FROM mix_target WHERE weight > 0 AND max_repeats > 0),
+t AS (SELECT source, sum(weight) AS weight, min(max_repeats) AS max_repeats FROM k WHERE source <> '' GROUP BY source)
+SELECT source, weight, CAST(max_repeats AS INTEGER) AS max_repeats, true AS near, true AS capped FROM t""",
+)
+def p8_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether every source reaches its target share to a few blocks and longest texts, and none is repeated too often."""
+    texts, targets = sized_texts(spark, sf_dir), table(spark, sf_dir, "mix_target")
+    plan = mixing.plan_mixture(texts, targets)
+    longest = texts.agg(F.coalesce(F.max("tokens"), F.lit(0)).alias("longest"))
+    r = mixing.reached(mixing.uses(mixing.placed(texts, plan)), plan, targets).join(F.broadcast(longest))
+    slack = (4 * plan.block + 2 * F.col("longest")) / F.lit(float(max(1, plan.total)))
+    return r.select("source", "weight", "max_repeats", (F.abs(F.col("reached_share") - F.col("target_share")) <= slack).alias("near"), (F.col("most_uses") <= F.col("max_repeats")).alias("capped"))
+
+
 @C.query("p8_shares")
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Target and reached share of all tokens of every source of the targets."""
