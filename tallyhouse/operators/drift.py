@@ -427,12 +427,15 @@ def value_facts(cell_rows: DataFrame, gone: DataFrame, came: DataFrame) -> DataF
     """
     # A figure is the same value however it is written.
     value = F.coalesce(F.col("num").cast("string"), F.lower(F.regexp_replace("text", "[^\\p{L}\\p{N}.-]", "")))
-    plain = cell_rows.where("text is not null").select("family", "edition", "entity", "header", value.alias("v"))
+    lost = gone.select("family", F.col("before").alias("edition"), F.col("edition").alias("later"), "header")
+    either = lost.drop("later").unionByName(came.select("family", "edition", "header")).distinct()
+    plain = cell_rows.where("text is not null").join(F.broadcast(either), ["family", "edition", "header"], "left_semi")
+    plain = plain.select("family", "edition", "entity", "header", value.alias("v"))
     plain = plain.withColumn("v", F.when(F.col("v").isin("y", "yes"), "true").when(F.col("v").isin("n", "no"), "false").otherwise(F.col("v")))
-    old = plain.join(
-        F.broadcast(gone.select("family", F.col("before").alias("edition"), F.col("edition").alias("later"), "header")),
-        ["family", "edition", "header"],
-    ).select("family", F.col("later").alias("edition"), "entity", F.col("header").alias("old"), F.col("v").alias("ov"))
+    plain = staged(plain, "values")  # of the lost and gained columns only; the cells themselves are not read again
+    old = plain.join(F.broadcast(lost), ["family", "edition", "header"]).select(
+        "family", F.col("later").alias("edition"), "entity", F.col("header").alias("old"), F.col("v").alias("ov")
+    )
     new = plain.join(F.broadcast(came.select("family", "edition", "header")), ["family", "edition", "header"]).select(
         "family", "edition", "entity", F.col("header").alias("new"), F.col("v").alias("nv")
     )
