@@ -92,7 +92,7 @@ def q_json_by_key(spark: SparkSession, sf_dir: str) -> DataFrame:
     return workbooks.json_by_key(spark, root, "n_regionkey", "n_nationkey int, n_name string", "rows")
 
 
-@C.query("q_geojson_features", "SELECT CAST(n_nationkey AS VARCHAR) AS code, round(n_nationkey + 0.5, 6) AS x, round(50 + n_regionkey + 1.0, 6) AS y FROM nation")
+@C.query("q_geojson_features", "SELECT CAST(n_nationkey AS VARCHAR) AS code, CAST(n_nationkey + 0.5 AS DOUBLE) AS x, CAST(51 + n_regionkey AS DOUBLE) AS y FROM nation")
 def q_geojson_features(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Features of a GeoJSON file with their middle."""
     at = lambda dx, dy: F.array(F.col("n_nationkey") + F.lit(float(dx)), F.col("n_regionkey") + F.lit(50.0 + dy))

@@ -546,7 +546,7 @@ def q_dates_of_life(spark: SparkSession, sf_dir: str) -> DataFrame:
 @C.query(
     "q_odds_and_steps",
     """SELECT DISTINCT p_size, CASE WHEN p_size >= 48 THEN 'almost certain' WHEN p_size >= 38 THEN 'likely' WHEN p_size >= 25 THEN 'more likely than not' WHEN p_size >= 13 THEN 'possible' WHEN p_size > 2 THEN 'unlikely' ELSE 'very unlikely' END AS odds,
-  CASE WHEN p_size <= 5 THEN 1.0 WHEN p_size <= 10 THEN 2.0 WHEN p_size <= 25 THEN 5.0 ELSE 10.0 END AS step FROM part""",
+  CASE WHEN p_size <= 5 THEN 1.0 WHEN p_size <= 10 THEN 2.0 WHEN p_size <= 25 THEN 5.0 ELSE 10.0 END::DOUBLE AS step FROM part""",
 )
 def q_odds_and_steps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Chances in words and round steps of an axis."""
