@@ -92,3 +92,28 @@ def test_layouts(spark):
     df = spark.createDataFrame(words, "doc int, page int, text string, x0 double, x1 double, top double")
     got = {r.name: r.value for r in layouts.LAYOUTS["words in columns"](df, {"name": 20.0, "y": 105.0}, "name", {"y": 2024}).collect()}
     assert got == {"Mill Lane": 0.4, "Moss": 0.9}
+
+
+def test_csv_files_by_their_own_headers(spark, tmp_path):
+    (tmp_path / "a.csv").write_bytes("﻿A list\n\nURN , Name\n1,\"St Mary's\nSchool\"\n,\n2\n3,x,y\n".encode())
+    (tmp_path / "b.csv").write_bytes("name,urn,x\nCaf\xe9,4,\n".encode("cp1252"))
+    (tmp_path / "c.csv").write_text("nothing\n")
+    rows, rejects = workbooks.csv_files(spark, str(tmp_path / "*.csv"), "urn", ["urn", "name", "town"])
+    assert sorted((r.urn, r.name, r.town) for r in rows.collect()) == [("1", "St Mary's\nSchool", None), ("2", None, None), ("4", "Café", None)]
+    got = sorted((r.path[-5:], r.reason) for r in rejects.collect())
+    assert got == [("a.csv", "more cells than headers"), ("a.csv", "no column town"), ("b.csv", "no column town"), ("c.csv", "no header with urn")]
+    assert {tuple(r) for r in workbooks.csv_after_preamble(spark, str(tmp_path / "[ab].csv"), "URN").collect()} == {("1", "St Mary's\nSchool"), ("2", None), ("4", "Café")}
+
+
+def test_json_scans(spark, tmp_path):
+    (tmp_path / "a.json").write_text('[{"x": 1}, [2, "]"] , "t"]')
+    (tmp_path / "b.json").write_text('[{"x": 1}, {"x": ')
+    (tmp_path / "c.json").write_text('{"x": 1}')
+    (tmp_path / "d.json").write_text("[]")
+    rows, rejects = workbooks.json_array(spark, str(tmp_path / "*.json"))
+    assert sorted((r.path[-6:], r.pos, r.doc) for r in rows.collect()) == [("a.json", 0, '{"x": 1}'), ("a.json", 1, '[2, "]"]'), ("a.json", 2, '"t"'), ("b.json", 0, '{"x": 1}')]
+    assert sorted((r.path[-6:], r.reason) for r in rejects.collect()) == [("b.json", "cut off"), ("c.json", "no array")]
+    (tmp_path / "lines").mkdir()
+    (tmp_path / "lines" / "e.json").write_text("")
+    with pytest.raises(ValueError):
+        workbooks.json_lines(spark, str(tmp_path / "lines"), "x int")
