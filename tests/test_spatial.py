@@ -1,5 +1,6 @@
 import math
 import random
+import time
 
 import numpy as np
 import pytest
@@ -112,3 +113,50 @@ def test_components_that_do_not_settle_fail(spark):
     assert {r.component for r in joins.components(chain).collect()} == {0}
     with pytest.raises(RuntimeError):
         joins.components(chain, rounds=1)
+
+
+def gap_of(a, b):
+    """Distance of two closed rings, one edge and corner at a time."""
+    def off(p, q, x):  # noqa: ANN001, ANN202, E306
+        dx, dy = q[0] - p[0], q[1] - p[1]
+        n = dx * dx + dy * dy
+        t = min(1.0, max(0.0, ((x[0] - p[0]) * dx + (x[1] - p[1]) * dy) / n)) if n else 0.0
+        return math.hypot(x[0] - p[0] - t * dx, x[1] - p[1] - t * dy)
+    def turn(p, q, x):  # noqa: ANN001, ANN202, E306
+        return (q[0] - p[0]) * (x[1] - p[1]) - (q[1] - p[1]) * (x[0] - p[0])
+    def holds(r, x):  # noqa: ANN001, ANN202, E306
+        return sum((p[1] > x[1]) != (q[1] > x[1]) and x[0] < p[0] + (x[1] - p[1]) * (q[0] - p[0]) / (q[1] - p[1]) for p, q in zip(r, r[1:])) % 2 == 1
+    ea, eb = list(zip(a, a[1:])), list(zip(b, b[1:]))
+    if holds(a, b[0]) or holds(b, a[0]) or any(turn(*e, f[0]) * turn(*e, f[1]) < 0 and turn(*f, e[0]) * turn(*f, e[1]) < 0 for e in ea for f in eb):
+        return 0.0
+    return min([off(*e, x) for e in ea for x in b] + [off(*e, x) for e in eb for x in a])
+
+
+def test_near_polygons_against_brute_force(spark, monkeypatch):
+    rnd = random.Random(11)
+    rings = []
+    for _ in range(45):
+        x, y, n = rnd.uniform(0, 60), rnd.uniform(0, 60), rnd.choice([3, 4, 7])
+        r = [(x + rnd.uniform(1, 9) * math.cos(k * 2 * math.pi / n), y + rnd.uniform(1, 9) * math.sin(k * 2 * math.pi / n)) for k in range(n)]
+        rings.append([*r, r[0]])
+    polygons = [(i, r) for i, r in enumerate([*rings, *rings[:20], rings[0], [(70.0, 70.0)]])] + [(900, None), (901, [])]
+    df = spark.createDataFrame(polygons, "pid long, ring array<struct<x: double, y: double>>")
+    known = [p for p in polygons if p[1]]
+    want = {(p, q): g for p, a in known for q, b in known if p < q and (g := gap_of(a, b) if len(a) + len(b) > 2 else 99) <= 4}
+    got = [(r.a, r.b, r.gap) for r in spatial.near_polygons(df, 4.0, 7.0).collect()]
+    assert len(got) == len(want) > 60
+    assert all(abs(want[a, b] - g) < 1e-9 for a, b, g in got)
+    a, b = (np.array([rings[i]]) for i in (0, 1))
+    whole = spatial._gaps(a[..., 0], a[..., 1], b[..., 0], b[..., 1])
+    monkeypatch.setattr(spatial, "_HELD", 1)  # an edge at a time
+    assert spatial._gaps(a[..., 0], a[..., 1], b[..., 0], b[..., 1]) == whole
+
+
+def test_rings_that_many_polygons_have_are_compared_once(spark):
+    square = lambda x, y, r: [(x, y), (x + r, y), (x + r, y + r), (x, y + r), (x, y)]
+    rows = [(i, square(40.0 * (i % 3), 0.0, 20.0)) for i in range(1500)]
+    df = spark.createDataFrame(rows, "pid long, ring array<struct<x: double, y: double>>")
+    began = time.time()
+    got = spatial.near_polygons(df, 20.0, 100.0).groupBy("gap").count().collect()
+    assert {r.gap: r["count"] for r in got} == {0.0: 3 * 500 * 499 // 2, 20.0: 2 * 500 * 500}
+    assert time.time() - began < 60  # 1.6 million pairs compared one by one take minutes
