@@ -132,7 +132,7 @@ def gap_of(a, b):
     return min([off(*e, x) for e in ea for x in b] + [off(*e, x) for e in eb for x in a])
 
 
-def test_near_polygons_against_brute_force(spark, monkeypatch):
+def test_near_polygons_and_points_against_brute_force(spark, monkeypatch):
     rnd = random.Random(11)
     rings = []
     for _ in range(45):
@@ -140,12 +140,19 @@ def test_near_polygons_against_brute_force(spark, monkeypatch):
         r = [(x + rnd.uniform(1, 9) * math.cos(k * 2 * math.pi / n), y + rnd.uniform(1, 9) * math.sin(k * 2 * math.pi / n)) for k in range(n)]
         rings.append([*r, r[0]])
     polygons = [(i, r) for i, r in enumerate([*rings, *rings[:20], rings[0], [(70.0, 70.0)]])] + [(900, None), (901, [])]
+    points = [(i, rnd.uniform(-5, 65), rnd.uniform(-5, 65)) for i in range(60)]
+    points += [(100 + i, x, y) for i, x, y in points[:10]] + [(200, None, 1.0)]
     df = spark.createDataFrame(polygons, "pid long, ring array<struct<x: double, y: double>>")
     known = [p for p in polygons if p[1]]
     want = {(p, q): g for p, a in known for q, b in known if p < q and (g := gap_of(a, b) if len(a) + len(b) > 2 else 99) <= 4}
     got = [(r.a, r.b, r.gap) for r in spatial.near_polygons(df, 4.0, 7.0).collect()]
     assert len(got) == len(want) > 60
     assert all(abs(want[a, b] - g) < 1e-9 for a, b, g in got)
+    near = [tuple(r) for r in spatial.within_of_polygon(spark.createDataFrame(points, "id long, x double, y double"), df, 4.0, 7.0).collect()]
+    inside = lambda x, y, r: 0.0 if gap_of([(x, y)], r) == 0 else gap_of([(x, y)], r)
+    want = {(i, p): g for i, x, y in points if x is not None for p, r in known if len(r) > 1 and (g := inside(x, y, r)) <= 4}
+    assert len(near) == len(want) > 60
+    assert all(abs(want[i, p] - g) < 1e-9 for i, p, g in near)
     a, b = (np.array([rings[i]]) for i in (0, 1))
     whole = spatial._gaps(a[..., 0], a[..., 1], b[..., 0], b[..., 1])
     monkeypatch.setattr(spatial, "_HELD", 1)  # an edge at a time
@@ -159,4 +166,7 @@ def test_rings_that_many_polygons_have_are_compared_once(spark):
     began = time.time()
     got = spatial.near_polygons(df, 20.0, 100.0).groupBy("gap").count().collect()
     assert {r.gap: r["count"] for r in got} == {0.0: 3 * 500 * 499 // 2, 20.0: 2 * 500 * 500}
+    spots = spark.range(900).select("id", (F.col("id") % 3 * 40.0 - 10).alias("x"), F.lit(10.0).alias("y"))
+    near = spatial.within_of_polygon(spots, df, 10.0, 100.0).groupBy("gap").count().collect()
+    assert {r.gap: r["count"] for r in near} == {10.0: 5 * 300 * 500}
     assert time.time() - began < 60  # 1.6 million pairs compared one by one take minutes
